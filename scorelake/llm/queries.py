@@ -1,12 +1,15 @@
 """The corpus queries, their SQL where it can express them, by name."""
 
-from scorelake.llm import chat, line_dedup, mixing, secrets
+from scorelake.llm import chat, decontaminate, line_dedup, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_quality": quality.op10_quality,
 }
 SQL = {
     "op9_line_dedup": line_dedup.OP9_SQL,
