@@ -58,3 +58,8 @@ def row_key(doc_id: str, text: str) -> list[Column]:
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return (a["_key"] == b["_key"]) & a["_id"].eqNullSafe(b["_id"])
+
+
+def sized_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` (narrow) rows; Spark shuffles it otherwise."""
+    return F.broadcast(df) if df.count() <= most else df

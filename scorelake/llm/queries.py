@@ -1,10 +1,12 @@
 """The corpus queries, their SQL where it can express them, by name."""
 
-from scorelake.llm import chat, decontaminate, line_dedup, mixing, quality, secrets, toxicity
+from scorelake.llm import ann, chat, decontaminate, html_text, line_dedup, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_html_text": html_text.op4_html_text,
+    "op5_nearest": ann.op5_nearest,
     "op6_chat_format": chat.op6_chat_format,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_toxicity": toxicity.op8_toxicity,
