@@ -1,10 +1,11 @@
 """The corpus queries, their SQL where it can express them, by name."""
 
-from scorelake.llm import ann, chat, decontaminate, html_text, line_dedup, mixing, quality, secrets, toxicity
+from scorelake.llm import ann, chat, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_html_text": html_text.op4_html_text,
     "op5_nearest": ann.op5_nearest,
     "op6_chat_format": chat.op6_chat_format,
