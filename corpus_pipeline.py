@@ -1,11 +1,64 @@
-"""The corpus pipeline: stages over ``documents``, each written before the next reads it."""
+"""The corpus pipeline over ``documents``: each stage is written as Parquet and read by the next.
+
+Stages, in order: toxic documents go; cross-site boilerplate lines go; one
+document of each group of near duplicates stays; benchmark passages are cut out
+(a document of nothing else goes); what is left is mixed to source weights.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorelake.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from scorelake.llm.common import keep
+from scorelake.llm.labelled import remainder
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is one, for the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    allowed = remainder("doc_id", toxicity.FOLDS) != toxicity.HELD_OUT
+    scored = toxicity.score(docs, labels, "toxic", allowed, name="_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(line_dedup.clean(docs).select(*(f"`{c}`" for c in docs.columns)))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.annotate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove=True)
+    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    left = found.where((F.size("_spans") == 0) | (hit < F.col("_n_words")))
+    return _measured(left.select(*(f"`{c}`" for c in docs.columns)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_join", drop_near_copies),
+    ("decontaminate", cut_benchmark),
+    ("mix_sources", mix_sources),
+]
+#: The first stage learns a model, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir))
     return docs

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import keep, sized_broadcast
+from scorelake.llm.common import keep, row_key, same_row, sized_broadcast, text_of
 
 WORDS, PERCENT = 5, 75
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -493,6 +493,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return named.unionByName(bare)
 
 
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the least id (rows without shingles all stay)."""
+    keyed = docs.select("*", *row_key(doc_id, text))
+    # the join reads rows under their keys, so that rows with one id but two texts stay apart
+    found = keep(join(keyed.select(F.struct("_id", "_key").alias("_row"), F.col(text).alias("_text")), "_row", "_text"))
+    gone = found.where("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id._id").alias("_id"), F.col("doc_id._key").alias("_key")).distinct()
+    gone = sized_broadcast(keep(gone))
+    stay = keyed.join(gone, same_row(keyed, gone), "left_anti")
+    again = found.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():  # a row that stays stands there more than once
+        bare = F.trim(F.regexp_replace(text_of(text), r"[\x09-\x0D]", " ")) == ""
+        stay = stay.where(~bare).dropDuplicates(["_id", "_key"]).unionByName(stay.where(bare))
+    return stay.drop("_id", "_key")
+
+
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     """All documents with the size of their sets and their components."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

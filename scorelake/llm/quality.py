@@ -141,9 +141,9 @@ def score_texts(texts: list[bytes], model: dict, cache: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None, most: int = MOST, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (default: all) and ``score``, 0 to 1."""
-    return scored(docs, train(docs, labels, label, allowed, most, doc_id, text), score_texts, lambda _: {}, text, carry=carry)
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None, most: int = MOST, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``carry`` (default: all) and the score as ``name``, 0 to 1."""
+    return scored(docs, train(docs, labels, label, allowed, most, doc_id, text), score_texts, lambda _: {}, text, name, carry)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -242,10 +242,10 @@ def score_texts(texts: list[bytes], model: dict, weights: Weights) -> np.ndarray
     return 0.999 * np.interp(raw, xs, ys) + 0.001 / (1 + np.exp(-raw))
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None, most: int = MOST, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (default: all) and ``score``, 0 to 1."""
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None, most: int = MOST, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``carry`` (default: all) and the score as ``name``, 0 to 1."""
     model = train(docs, labels, label, allowed, most, doc_id, text)
-    return scored(docs, model, score_texts, lambda m: Weights(m["lexicon"]), text, carry=carry)
+    return scored(docs, model, score_texts, lambda m: Weights(m["lexicon"]), text, name, carry)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
