@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to a Python worker at a time while a result is kept.
+BATCH_BYTES = 4 << 20
 #: White space of the word patterns: space, and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 
@@ -32,10 +34,17 @@ def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: later stages don't run what came before once more, and a
-    lost executor takes nothing of it along.
+    lost executor takes nothing of it along. Rows with long texts or arrays reach
+    Python in batches bounded by bytes, not by their number.
     """
     path = f"{shared_dir(df.sparkSession)}/scorelake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name, None)
+    conf.set(name, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
