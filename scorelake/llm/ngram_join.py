@@ -17,8 +17,9 @@ class and linked at once, so copies never form pairs. Of classes that differ:
    bitmaps differ in bits.
 4. What passes is decided by intersecting the sorted arrays.
 
-A tile reports the nearest pairs of each two components first, and tiles that
-held back more are searched again, without limit in the end: nothing is capped.
+A tile reports the nearest pairs of each row first. Tiles that held back more are
+searched again with the components as they are then, first for some pairs of each
+two components, without limit in the end: nothing is capped.
 Components come from alternating stars over edge tables. No sets, links or
 components go through the driver.
 
@@ -50,8 +51,8 @@ LOCAL_COMMON, COMMON_SHARE = 8, 1000
 MOST_COMMON = 500_000
 #: Rows of a tile's side.
 BLOCK = 2048
-#: Pairs of two components that a tile reports in each round; None: all.
-ROUNDS = (8, 512, None)
+#: What a tile reports in each round: pairs near to each row, or of each two components; None: all.
+ROUNDS = ((2, None), (None, 8), (None, 512), (None, None))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -335,15 +336,27 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def tile_pairs(cl: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], most: int | None):
+def among_first(keys: np.ndarray, n: int) -> np.ndarray:
+    """Marks the first n occurrences of each key."""
+    order = np.argsort(keys, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
+    rank = np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))
+    out = np.zeros(len(keys), bool)
+    out[order] = rank < n
+    return out
+
+
+def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], near: int | None, most: int | None):
     """Pairs (i, j) of one tile that may link and stand in two components; whether any were held back.
 
     side: 0 for rows that meet all, 1 for rows that meet only those of side 0.
+    near: only what is among the nearest so many of either row; most: only so many
+    of each two components, the nearest first.
     """
     order = np.argsort(n, kind="stable")
     raw = [np.frombuffer(bits[i], np.uint8) for i in order]
     n_, comp_, side_ = n[order], comp[order], side[order]
-    found: dict[tuple, list] = {}
+    found: list[tuple] = []
     a = 0
     while a < len(order) - 1:
         # a band: the rows of one bitmap size, against all up to the largest that may link
@@ -364,16 +377,26 @@ def tile_pairs(cl: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray
                 continue
             differing = np.bitwise_count(words[j - a] ^ words[i - a]).sum(axis=1).astype(np.int64)
             ok = may_link(differing, n_[i], n_[j])
-            for k, d in zip(j[ok].tolist(), differing[ok].tolist(), strict=True):
-                key = (int(comp_[i]), int(comp_[k])) if comp_[i] < comp_[k] else (int(comp_[k]), int(comp_[i]))
-                found.setdefault(key, []).append((d, int(order[i]), int(order[k])))
+            if ok.any():
+                found.append((np.full(int(ok.sum()), i), j[ok], differing[ok]))
         a = z
-    held = most is not None and any(len(x) > most for x in found.values())
-    return [(i, j) for x in found.values() for _, i, j in (sorted(x)[:most] if most is not None else x)], held
-
-
-def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
-    """``a b``: pairs of classes in two components that tiles let pass; a = b = 0 where a tile held some back."""
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, False
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    nearest = np.argsort(d, kind="stable")
+    i, j = i[nearest], j[nearest]
+    kept = np.ones(len(i), bool)
+    if near is not None:
+        kept = among_first(i, near) | among_first(j, near)
+    elif most is not None:
+        _, c = np.unique(comp_, return_inverse=True)
+        kept = among_first(np.minimum(c[i], c[j]) * len(c) + np.maximum(c[i], c[j]), most)
+    return order[i[kept]], order[j[kept]], not kept.all()
+
+
+def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, near: int | None, most: int | None) -> DataFrame:
+    """``a b``: pairs of classes in two components that tiles let pass; b is null where the tiles of shingle a held some back."""
     rows = shared.join(comps, "class", "left").select("token", "class", "n", F.coalesce("root", "class").alias("comp"))
     by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
     groups = by_comp.groupBy("token").agg(
@@ -421,10 +444,14 @@ def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, most: int | N
             comp = t.column("comp").to_numpy()
             if (comp == comp[0]).all():
                 return None
-            pairs, held = tile_pairs(cl, t.column("n").to_numpy(), comp, t.column("side").to_numpy(), t.column("bits").to_pylist(), most)
-            a = [min(cl[i], cl[j]) for i, j in pairs] + [0] * held
-            b = [max(cl[i], cl[j]) for i, j in pairs] + [0] * held
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            i, j, held = tile_pairs(t.column("n").to_numpy(), comp, t.column("side").to_numpy(), t.column("bits").to_pylist(), near, most)
+            if not len(i):
+                return None
+            a, b = pa.array(np.minimum(cl[i], cl[j])), pa.array(np.maximum(cl[i], cl[j]))
+            if held:
+                a = pa.concat_arrays([a, pa.array([t.column("token")[0].as_py()], pa.int64())])
+                b = pa.concat_arrays([b, pa.nulls(1, pa.int64())])
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -462,9 +489,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         light.where("many").select("token", "class", "n").unionByName(each.where("often").select("token", "class", "n")).distinct()
     )
 
-    lead = shared.groupBy("token").agg(F.min(F.struct("class", "n")).alias("lo"), F.max(F.struct("class", "n")).alias("hi"))
-    lead = lead.where("lo.class != hi.class").select("token", F.explode(F.array("lo", "hi")).alias("l"))
-    led = shared.join(lead, "token").where((F.col("class") != F.col("l.class")) & compatible(F.col("n"), F.col("l.n")))
+    # the shingles of one passage have the same classes: one of them stands for all
+    sets = shared.groupBy("token").agg(
+        F.min(F.struct("class", "n")).alias("lo"), F.max(F.struct("class", "n")).alias("hi"), F.count(F.lit(1)).alias("m"),
+        F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("set"), "class")).alias("h2"),
+    )
+    lead = sets.where("lo.class != hi.class").groupBy("m", "h1", "h2").agg(F.min(F.struct("token", "lo", "hi")).alias("g"))
+    shared = keep(shared.join(lead.select("g.*"), "token"))
+    led = shared.select("class", "n", F.explode(F.array("lo", "hi")).alias("l"))
+    led = led.where((F.col("class") != F.col("l.class")) & compatible(F.col("n"), F.col("l.n")))
+    shared = shared.select("token", "class", "n")
     first = F.col("class") < F.col("l.class")
     led = led.select(
         F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b"),
@@ -473,17 +507,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     tested = keep(bounded(led, classes))
     links = keep(exact(tested, docs, doc_id, text, classes))
     comps = keep(components(links))
-    for most in ROUNDS:
-        passed = keep(tiles(shared, comps, classes, most))
-        new = keep(passed.where("a != b").join(tested, ["a", "b"], "left_anti"))
+    for near, most in ROUNDS:
+        passed = keep(tiles(shared, comps, classes, near, most))
+        new = keep(passed.where("b IS NOT NULL").join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             more = keep(exact(new, docs, doc_id, text, classes))
             tested = tested.unionByName(new)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 comps = keep(components(links))
-        if passed.where("a = b").isEmpty():
+        held = passed.where("b IS NULL").select(F.col("a").alias("token")).distinct()
+        if held.isEmpty():
             break
+        shared = shared.join(held, "token", "left_semi")
 
     of_class = classes.join(comps, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     roots = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -143,7 +143,7 @@ def test_ngram_join_matches_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # all passages common, tiny blocks, pairs held back
         monkeypatch.setattr(ngram_join, "LOCAL_COMMON", 3)
         monkeypatch.setattr(ngram_join, "BLOCK", 4)
-        monkeypatch.setattr(ngram_join, "ROUNDS", (1, 2, None))
+        monkeypatch.setattr(ngram_join, "ROUNDS", ((1, None), (None, 1), (None, 2), (None, None)))
     rows = near_copies(seed) + [(3, None), (4, ""), (4, " \t")]
     ids = {}
     rows = [r for r in rows if ids.setdefault(r[0], r) == r]
