@@ -1,4 +1,7 @@
 """The queries over score tables, and their SQL for DuckDB, by name."""
 
-QUERIES = {}
-SQL = {}
+from scorelake.plans import document_queries, layout_queries, score_queries
+
+_ALL = score_queries.QUERIES | layout_queries.QUERIES | document_queries.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
