@@ -162,7 +162,8 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     """All conversations and one, -7, whose texts are control strings."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    rows = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": F.when(F.col("id") == 0, "user").otherwise("assistant"), "text": F.lit(odd)}
+    more = spark.range(2).select(*(c.cast(turns.schema[name].dataType).alias(name) for name, c in rows.items()))
     back = read_back(windows(turns.unionByName(more)))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
