@@ -309,6 +309,25 @@ def may_link(differing, m, n):
     return 100 * most >= PERCENT * (m + n - most)
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v``, and no ``v`` is a ``u``: then every ``v`` is the least of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("low")), F.struct(F.col("v").alias("x"), F.lit(0).alias("low")))).alias("e"))
+    nodes = ends.groupBy("e.x").agg(F.sum("e.low").alias("below"), F.min("e.low").alias("least"))
+    return nodes.where("below > 1 OR (below = 1 AND least = 0)").isEmpty()
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` with more links: those are followed between the roots alone, the rest is renamed."""
+    of = comps.select(F.col("class").alias("_class"), F.col("root").alias("_root"))
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(of, F.col(end) == F.col("_class"), "left").withColumn(end, F.coalesce("_root", end)).select("a", "b")
+    roots = keep(components(ends))
+    moved = comps.join(roots.select(F.col("class").alias("root"), F.col("root").alias("to")), "root", "left")
+    fresh = roots.join(comps.select("class"), "class", "left_anti").select("class", "root")
+    return moved.select("class", F.coalesce("to", "root").alias("root")).unionByName(fresh)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``class root`` of all linked classes, root the least of its component: alternating stars.
 
@@ -316,8 +335,7 @@ def components(links: DataFrame) -> DataFrame:
     links is no task's alone.
     """
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
-    while True:
+    while not are_stars(edges):
         # large star: the greater neighbours of u get the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -327,10 +345,6 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("u").alias("class"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("class"), F.col("v").alias("root")).distinct()
     )
@@ -514,9 +528,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             more = keep(exact(new, docs, doc_id, text, classes))
             tested = tested.unionByName(new)
             if not more.isEmpty():
-                links = links.unionByName(more)
-                comps = keep(components(links))
-        held = passed.where("b IS NULL").select(F.col("a").alias("token")).distinct()
+                comps = keep(merged(comps, more))
+        held = passed.where("b IS NULL").select(F.col("a").alias("token"))
         if held.isEmpty():
             break
         shared = shared.join(held, "token", "left_semi")
