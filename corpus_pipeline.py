@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(line_dedup.clean(docs).select(*(f"`{c}`" for c in docs.columns)))
+    return _measured(line_dedup.clean(docs, by_texts=True).select(*(f"`{c}`" for c in docs.columns)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,15 @@ between the same neighbours belong to copies of a whole document, which are the
 near-duplicate stage's to judge. All occurrences of boilerplate lines go, but a
 document is never emptied: one made of boilerplate alone stays as it is.
 
+There are two rules for that. ``OP9_SQL``'s, which ``op9_line_dedup`` has to meet,
+takes the lines before and after and asks for a share of the occurrences; it keeps
+inner lines of fixed blocks. With ``by_texts`` (the pipeline) ``min_sites`` sites have
+to show the line in different texts. Text of a document's own is what stands outside
+widely shown lines. A text counts if no text before it (in the order of a hash) has
+``DIFFERENT`` percent of the ``SKETCH`` least hashes of its word passages, so copies,
+exact or edited, weigh about one however many they are; documents with less than
+``MIN_OWN`` percent of own text are copies and don't count.
+
 Two hashes (128 bits) stand for a line; no Python runs on the executors, and only
 the last join moves text. Defined results: a null text has no lines and stays
 null; blank lines are never boilerplate; a null site is one site of its own;
@@ -24,6 +33,12 @@ from scorelake.llm.common import keep, row_key, same_row, text_of
 MIN_SITES = 8
 #: Share of a line's occurrences with surroundings of their own, in percent.
 MIN_CONTEXTS = 50
+#: By texts: percent of a document's characters outside widely shown lines, for it to count.
+MIN_OWN = 20
+#: Words of a passage, and passages' hashes that stand for a text.
+PASSAGE, SKETCH = 5, 16
+#: Percent of these that no text before has, for a text to be a different one.
+DIFFERENT = 75
 #: Estimates this near to a threshold (in percent of it) are counted exactly.
 NEAR = 20
 
@@ -82,17 +97,73 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_contexts: int
     return rough.where(sure).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
+def _least(hashes):
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+
+
+def _passages(line):
+    """The least hashes of a line's word passages; a shorter line is one."""
+
+    def least(words):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - PASSAGE, F.lit(0)))
+        return _least(F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(PASSAGE)))))
+
+    # an array of one, so that the words are split once and not for each passage
+    return F.get(F.transform(F.array(F.split(line, " +")), least), 0)
+
+
+def boilerplate_by_texts(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source",
+    min_sites: int = MIN_SITES, min_chars: int = 10,
+) -> DataFrame:
+    """``h1 h2`` of the lines that ``min_sites`` sites show in different texts.
+
+    Widely shown lines of any length are no own text; those of ``min_chars`` and more are judged.
+    """
+    lines = _lines(docs, doc_id, text, site, 1)
+    wide = keep(boilerplate(lines, min_sites, 0))
+    # exact repeats of a row share the key, the set holds each place once
+    shown = lines.join(wide, ["h1", "h2"], "left_semi").groupBy("_id", "_key").agg(
+        F.collect_set(F.struct("pos", "h1", "h2")).alias("shown")
+    )
+    # lengths and hashes move, not text
+    trimmed = F.transform(F.split(text_of(text), "\n"), F.trim)
+    short = docs.select(
+        *row_key(doc_id, text),
+        F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("")).alias("site"),
+        F.xxhash64(text_of(text)).alias("class"),
+        F.transform(trimmed, lambda x: F.struct(F.length(x).alias("n"), F.when(F.length(x) > 0, _passages(x)).alias("least"))).alias("ls"),
+    )
+    held = short.join(shown, same_row(short, shown)).drop(shown["_id"]).drop(shown["_key"])
+    own = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.col("shown.pos"))
+    held = held.withColumn("own", F.transform(own, lambda i: F.get("ls", i)))
+
+    def chars(of):
+        return F.aggregate(of, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+
+    held = held.where(chars(F.col("own")) * 100 >= chars(F.col("ls")) * MIN_OWN)
+    held = held.withColumn("least", _least(F.flatten(F.filter(F.col("own.least"), lambda x: x.isNotNull()))))
+    at = F.transform("shown", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), F.get("ls", x["pos"])["n"].alias("n")))
+    one = F.struct("class", "site", F.size("least").alias("k"))
+    seen = held.select(one.alias("one"), "least", F.explode(at).alias("x")).where(F.col("x.n") >= min_chars)
+    # of the texts that share a passage the first has it
+    led = seen.select("x.h1", "x.h2", "one", F.explode("least").alias("v")).groupBy("h1", "h2", "v").agg(F.min("one").alias("one"))
+    first = led.groupBy("h1", "h2", "one").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 100 >= F.col("one.k") * DIFFERENT)
+    sites = first.groupBy("h1", "h2", F.col("one.site").alias("site")).agg(F.lit(1).alias("n"))
+    return sites.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
+
+
 def clean(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source",
-    min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS, min_chars: int = 10,
+    min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS, min_chars: int = 10, by_texts: bool = False,
 ) -> DataFrame:
     """The input's columns with cleaned text, plus ``n_lines`` and ``n_removed``.
 
     ``n_lines`` counts all lines of the text. Removed lines take their line
-    break along; nothing else of the text changes.
+    break along; nothing else of the text changes. ``by_texts`` leaves ``min_contexts`` out.
     """
     lines = _lines(docs, doc_id, text, site, min_chars)
-    bad = keep(boilerplate(lines, min_sites, min_contexts))
+    bad = keep(boilerplate_by_texts(docs, doc_id, text, site, min_sites, min_chars) if by_texts else boilerplate(lines, min_sites, min_contexts))
     hits = (
         lines.join(bad, ["h1", "h2"], "left_semi")
         .groupBy("_id", "_key")

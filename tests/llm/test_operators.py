@@ -312,6 +312,39 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.clean(df.limit(0)).count() == 0
 
 
+def test_line_dedup_by_texts(spark):
+    """Footers of three lines, one inside many copies; copies and near copies stay."""
+    footer = ["first line of the footer", "second line of the footer", "third line of the footer"]
+    closing = ["inside of the copied texts", "a closing line among copies"]
+    rng = random.Random(4)
+
+    def own(n):
+        return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+    rows = [(i, "\n".join([own(12), own(9), "", *footer]), f"s{i % 10}") for i in range(60)]
+    rows += [(100 + i, "\n".join([own(30), *closing]), f"s{i % 10}") for i in range(30)]
+    copied = [f"copied line {j} of a text that stands everywhere" for j in range(6)]
+    rows += [(1000 + i, "\n".join([*copied, *closing, *footer]), f"s{i % 10}") for i in range(1000)]
+    near = [f"near copied line {j} of another text" for j in range(8)]
+    rows += [(3000 + i, "\n".join([*near[: i % 8], f"changed in {i}", *near[i % 8 + 1 :]]), f"s{i % 10}") for i in range(200)]
+    # long lines with changed words among lines that stay
+    base = [own(40) for _ in range(3)]
+    for i in range(300):
+        words = [x.split() for x in base]
+        for x in words:
+            x[rng.randrange(40)], x[rng.randrange(40)] = own(1), own(1)
+        rows.append((5000 + i, "\n".join([" ".join(words[0]), "a line between long ones", " ".join(words[1]), " ".join(words[2]), "the last line of these"]), f"s{i % 10}"))
+    rows += [(4000, "\n".join(footer), "s1"), (4001, None, "s2"), (4002, "\n \n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_dedup.clean(df, by_texts=True).collect()}
+    fixed = {*footer, *closing}
+    for i, t, _ in rows:
+        left = "\n".join(x for x in t.split("\n") if x not in fixed) if t and i < 3000 else t
+        assert got[i]["text"] == left, i
+    assert {got[i]["n_removed"] for i in range(60)} == {3} and {got[i]["n_removed"] for i in range(1000, 2000)} == {5}
+    assert line_dedup.clean(df.limit(0), by_texts=True).count() == 0
+
+
 def labelled(spark, seed=3):
     rng = random.Random(seed)
     calm = [f"calm{i}" for i in range(300)]

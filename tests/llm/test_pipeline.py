@@ -73,3 +73,12 @@ def test_run_is_the_stages_in_order(spark, small):
     d, _, _ = small
     out = pipeline.run(spark, d)
     assert "copies" in out.columns and out.count() > 0
+
+
+def test_line_stage_removes_whole_footers(spark):
+    footer = ["first line of the footer", "second line of the footer", "third line of the footer"]
+    rng = random.Random(2)
+    own = [" ".join(f"w{rng.randrange(5000)}" for _ in range(20)) for _ in range(40)]
+    rows = [(i, "\n".join([x, *footer]), "en", f"s{i % 10}", 0) for i, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["text"] for r in pipeline.drop_lines(spark, df, "").collect()) == sorted(own)
