@@ -26,8 +26,9 @@ def sample(
     """``y weight luck text``: at most ``most`` labelled documents of each class (kept).
 
     The least seeded hashes of the ids are taken, so reruns agree. A document
-    with several labels counts once, by their mean (0.5 and up is 1). weight:
-    the class's labelled documents for each one taken.
+    with several labels counts once, by their mean (0.5 and up is 1), and one with
+    several rows by one of them: the text of the least hash. weight: the class's
+    labelled documents for each one taken.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     if allowed is not None:
@@ -43,9 +44,10 @@ def sample(
     if taken is None:
         taken = known.withColumn("weight", F.lit(1.0))
     # 2 * most ids at most: a proven bound for the broadcast
-    return keep(
-        docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("text")).join(F.broadcast(taken), "_id").select("y", "weight", "luck", "text")
-    )
+    rows = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("text")).join(F.broadcast(taken), "_id")
+    # partial aggregation leaves one row of an id in each task, so repeats of one id don't gather in one
+    one = rows.groupBy("_id", "y", "weight", "luck").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return keep(one.select("y", "weight", "luck", "text"))
 
 
 def scored(

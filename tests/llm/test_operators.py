@@ -387,6 +387,19 @@ def test_classifiers_hold_out(spark, module, label):
     assert [r["score"] for r in none] == [0.0]
 
 
+def test_sample_keeps_one_row_of_an_id(spark):
+    from scorelake.llm.labelled import sample
+
+    rows = [(1, f"text {i}") for i in range(500)] + [(i, f"own {i}") for i in range(2, 12)] + [(2, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in sample(docs, labels, "toxic", 4).collect())
+    assert len(got) == 8 and sum(r[1] for r in got) == pytest.approx(11)
+    assert got == sorted(tuple(r) for r in sample(docs.repartition(7), labels, "toxic", 4).collect())
+    every = sample(docs, labels, "toxic", 50).collect()
+    assert len(every) == 11 and sum(r["text"].startswith("text ") for r in every) == 1
+
+
 def test_isotonic_is_the_least_squares_fit():
     rng = np.random.default_rng(7)
     x, y, w = rng.integers(0, 8, 60).astype(float), rng.integers(0, 2, 60).astype(float), rng.uniform(0.5, 2, 60)
