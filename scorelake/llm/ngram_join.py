@@ -39,20 +39,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import keep, row_key, same_row, sized_broadcast, text_of
+from scorelake.llm.common import keep, row_key, same_row, sized_broadcast, text_of, tidy
 
 WORDS, PERCENT = 5, 75
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 18
-#: A shingle is common if a task meets it this often, and it is in one of so many documents at least.
-LOCAL_COMMON, COMMON_SHARE = 8, 1000
-#: Common shingles that are put last; the most frequent ones, as they are broadcast.
-MOST_COMMON = 500_000
-#: Rows of a tile's side.
+#: A shingle is common if one of so many classes has it. A task reports those that one in so many of its own classes has,
+#: twice at least, so one that stays unreported has fewer rows than tasks and common classes together.
+COMMON_SHARE, LOCAL_COMMON = 1000, 2
+#: Shingles whose repeats a task counts at a time, beyond which the rarest go.
+COUNTED = 1 << 20
+#: Rows of a tile's side, partners of one copy of a value.
 BLOCK = 2048
-#: What a tile reports in each round: pairs near to each row, or of each two components; None: all.
-ROUNDS = ((2, None), (None, 8), (None, 512), (None, None))
+PARTNERS = 512
+#: Parts of a common shingle's rows.
+SALTS = 64
+#: Shingles of each class whose tiles are searched first.
+FIRST = 3
+#: What a tile reports in each round: pairs nearest to each row, or of each two components; None: all.
+ROUNDS = ((1, None), (None, 8), (None, 512), (None, None))
+#: Shingles of a class that travel along, so that a pair is reported under the least of those it shares; classes with more report again.
+LISTED = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -143,87 +151,118 @@ def _binary(batch: pa.RecordBatch, i: int) -> list[bytes]:
     return [x or b"" for x in batch.column(i).cast(pa.binary()).to_pylist()]
 
 
-def _class(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set: its class, and what tells sets of one class apart."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+class Namer:
+    """The class of a set; sets whose first 64 bits are equal have got classes of their own."""
+
+    def __init__(self, renamed: dict[tuple[int, int], int]):
+        self.renamed = renamed
+
+    def __call__(self, s: np.ndarray) -> int:
+        d = digests(s)
+        return self.renamed.get(d, d[0]) if self.renamed else d[0]
+
+
+def clashes(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """New classes for unequal sets of one class; about N^2 / 2^65 of N sets, so few at any size."""
+    lo = rows.where("n > 0").groupBy("class").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo != hi")
+    found = rows.join(lo.select("class"), "class", "left_semi").select("class", "check").distinct().collect()
+    again = lambda r: hashlib.blake2b(f"{r['class']} {r['check']}".encode(), digest_size=8).digest()
+    return {(r["class"], r["check"]): int.from_bytes(again(r), "little", signed=True) for r in found}
+
+
+class Repeats:
+    """How many of a task's sets hold each shingle that more than one of them holds, within bounded memory."""
+
+    def __init__(self):
+        self.token, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.part: list[np.ndarray] = []
+        self.held, self.lost = 0, 0
+
+    def add(self, s: np.ndarray) -> None:
+        self.part.append(s)
+        self.held += len(s)
+        if self.held >= COUNTED:
+            self.fold()
+
+    def fold(self) -> None:
+        token, n = np.unique(np.concatenate([*self.part, np.zeros(0, np.uint64)]), return_counts=True)
+        known = np.isin(token, self.token, assume_unique=True)
+        token, n = token[(n > 1) | known], n[(n > 1) | known]
+        both, inverse = np.unique(np.concatenate([self.token, token]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([self.n, n]), len(both)).astype(np.int64)
+        if len(both) > COUNTED:
+            least = int(np.partition(n, len(n) - COUNTED)[len(n) - COUNTED])
+            both, n, self.lost = both[n > least], n[n > least], self.lost + least
+        self.token, self.n, self.part, self.held = both, n, [], 0
+
+    def often(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        self.fold()
+        ok = self.n + self.lost >= least
+        return self.token[ok], self.n[ok]
 
 
 def profiles(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``doc_id n class bits`` for each row, and the common shingles ``token n``, from one scan (kept)."""
+    """``doc_id n class check bits`` for each row, and the common shingles ``token n``, from one scan (kept)."""
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    names = ["doc_id", "n", "class", "bits", "tokens", "counts"]
-    schema = f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, n long, class long, bits binary, tokens array<long>, counts array<long>"
+    names = ["doc_id", "n", "class", "check", "bits", "tokens", "counts"]
+    schema = f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, n long, class long, check long, bits binary, tokens array<long>, counts array<long>"
 
     def task(batches):
-        shingler, seen, rows = Shingler(), set(), 0
-        common = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        part: list[np.ndarray] = []
-        held = 0
-
-        def fold(common, part):
-            token, n = np.unique(np.concatenate([*part, np.zeros(0, np.uint64)]), return_counts=True)
-            token, n = token[n > 1], n[n > 1]
-            both, inverse = np.unique(np.concatenate([common[0], token]), return_inverse=True)
-            return both, np.bincount(inverse, np.concatenate([common[1], n]), len(both)).astype(np.int64)
-
-        none = None
+        shingler, seen, repeats, out_type = Shingler(), set(), Repeats(), None
         for whole_ in batches:
             for at in range(0, whole_.num_rows, 1000):
                 batch = whole_.slice(at, 1000)
-                n, cl, bits = [], [], []
+                size, out_type = batch.num_rows, batch.schema.field(0).type
+                n, cl, check, bits = [], [], [], []
                 for s in shingler.sets(_binary(batch, 1)):
-                    n.append(len(s))
-                    c = _class(s) if len(s) else 0
-                    cl.append(c)
-                    if len(s) and c not in seen:
-                        seen.add(c)
+                    d = digests(s) if len(s) else (0, 0)
+                    n.append(len(s)), cl.append(d[0]), check.append(d[1])
+                    if len(s) and d not in seen:
+                        seen.add(d)
                         bits.append(bitmap(s).tobytes())
-                        part.append(s)
-                        held += len(s)
-                        if held >= 1 << 20:
-                            common, part, held = fold(common, part), [], 0
+                        repeats.add(s)
                     else:
-                        bits.append(none)
-                rows += batch.num_rows
-                size = batch.num_rows
+                        bits.append(None)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), pa.array(n, pa.int64()), pa.array(cl, pa.int64()), pa.array(bits, pa.binary()),
+                        batch.column(0), pa.array(n, pa.int64()), pa.array(cl, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.binary()),
                         pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.list_(pa.int64())),
                     ],
                     names=names,
                 )
-                out_type = batch.schema.field(0).type
-        if rows:
-            common = fold(common, part)
-            often = common[1] >= max(LOCAL_COMMON, len(seen) // COMMON_SHARE)
+        if out_type is not None:
+            token, count = repeats.often(max(LOCAL_COMMON, len(seen) // COMMON_SHARE))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(1, out_type), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()),
-                    pa.array([common[0][often].view(np.int64).tolist()], pa.list_(pa.int64())),
-                    pa.array([common[1][often].tolist()], pa.list_(pa.int64())),
-                ],
+                [pa.nulls(1, out_type), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), one(token.view(np.int64)), one(count)],
                 names=names,
             )
 
-    table = keep(whole.mapInArrow(task, schema))
+    table = keep(whole.mapInArrow(tidy(task), schema))
     common = table.where("n = -1").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
     return (
-        table.where("n >= 0").select("doc_id", "n", "class", "bits"),
+        table.where("n >= 0").select("doc_id", "n", "class", "check", "bits"),
         common.groupBy(F.col("t.tokens").alias("token")).agg(F.sum("t.counts").alias("n")),
     )
 
 
-def prefixes(docs: DataFrame, text: str, common: list[int]) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, common: list[int], renamed: dict) -> DataFrame:
     """``token often class n``: the prefix of each class in each task."""
     last = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
 
     def task(batches):
-        shingler, seen, late = Shingler(), set(), last.value
+        shingler, seen, late, name = Shingler(), set(), last.value, Namer(renamed)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 tokens, often, cl, size = [], [], [], []
                 for s in shingler.sets(_binary(whole.slice(at, 1000), 0)):
-                    if not len(s) or (c := _class(s)) in seen:
+                    if not len(s) or (c := name(s)) in seen:
                         continue
                     seen.add(c)
                     n = len(s)
@@ -243,10 +282,63 @@ def prefixes(docs: DataFrame, text: str, common: list[int]) -> DataFrame:
                         names=["token", "often", "class", "n"],
                     )
 
-    return docs.select(text).mapInArrow(task, "token long, often boolean, class long, n long")
+    return docs.select(text).mapInArrow(tidy(task), "token long, often boolean, class long, n long")
+
+
+def compared(pairs: DataFrame, values: DataFrame, decide) -> DataFrame:
+    """Of the distinct pairs ``a b`` those for which ``decide(x, ys)`` holds on their ``values`` (class, value).
+
+    The class with more pairs sends its value once for ``PARTNERS`` partners, which
+    are dealt over tasks, so no class gathers in one and none is copied for each pair.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("k"))
+    sized = pairs.select("a", "b")
+    for end in ("a", "b"):
+        sized = sized.join(ends.select(F.col("class").alias(end), F.col("k").alias(f"k{end}")), end)
+    swap = F.col("ka") < F.col("kb")
+    hub, other = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    block = F.pmod(F.xxhash64(other), F.ceil(F.greatest("ka", "kb") / PARTNERS)).cast("int")
+    sized = sized.select(hub.alias("hub"), other.alias("other"), block.alias("block"))
+    own = sized.groupBy("hub", "block").agg(F.lit(None).cast("long").alias("other")).join(values, F.col("hub") == F.col("class"))
+    rest = sized.join(values, F.col("other") == F.col("class"))
+    columns = ["hub", "block", "other", "value"]
+    dealt = own.select(*columns).unionByName(rest.select(*columns)).repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("other").asc_nulls_first())
+
+    def task(batches):
+        at, x = None, None
+        for batch in batches:
+            hub, block, other = (batch.column(i).to_pylist() for i in range(3))
+            value = batch.column(3)
+            a, b, start = [], [], 0
+            for i in range(batch.num_rows + 1):
+                if i < batch.num_rows and other[i] is not None:
+                    continue
+                if i > start:  # partners of the value before
+                    ok = decide(x, value.slice(start, i - start).to_pylist())
+                    a += [at] * sum(ok)
+                    b += [o for o, good in zip(other[start:i], ok, strict=True) if good]
+                if i < batch.num_rows:
+                    at, x = hub[i], value[i].as_py()
+                start = i + 1
+            if a:
+                a, b = np.array(a, np.int64), np.array(b, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return dealt.mapInArrow(tidy(task), "a long, b long")
+
+
+def _intersect(x: bytes, ys: list[bytes]) -> list[bool]:
+    """Whether sorted arrays link, by their intersection."""
+    x, out = np.frombuffer(x, np.uint64), []
+    for y in ys:
+        y = np.frombuffer(y, np.uint64)
+        small, large = (x, y) if len(x) < len(y) else (y, x)
+        common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        out.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+    return out
 
 
-def exact(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFrame:
+def exact(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, renamed: dict) -> DataFrame:
     """Of ``a b`` those that link, by the sorted arrays of their shingles."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = keep(classes.join(wanted, "class", "left_semi").select("class", F.col("rep").alias("_rep")))
@@ -254,53 +346,32 @@ def exact(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: Da
     texts = texts.join(sized_broadcast(chosen.select("_rep").distinct()), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
 
     def task(batches):
-        shingler = Shingler()
+        shingler, name, seen = Shingler(), Namer(renamed), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                found = list(shingler.sets(_binary(whole.slice(at, 500), 0)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_class(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "shingles"]
-                )
+                found = {c: s for s in shingler.sets(_binary(whole.slice(at, 500), 0)) if (c := name(s)) not in seen}
+                seen.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["class", "value"])
 
-    sets = texts.mapInArrow(task, "class long, shingles binary")
     # a repeated id brings texts of other classes along, a repeated row its class twice
-    sets = sets.join(chosen.select("class"), "class", "left_semi")
-    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
+    sets = keep(texts.mapInArrow(tidy(task), "class long, value binary").join(chosen.select("class"), "class", "left_semi"))
+    return compared(pairs, sets, _intersect).distinct()
 
-    def meet(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(meet, "a long, b long").distinct()
+def _bound(x: bytes, ys: list[bytes]) -> list[bool]:
+    """Whether bitmaps, each after its set's size in eight bytes, allow to link."""
+    m, x, out = int.from_bytes(x[:8], "big"), np.frombuffer(x, np.uint8)[8:], []
+    for y in ys:
+        n, y = int.from_bytes(y[:8], "big"), np.frombuffer(y, np.uint8)[8:]
+        size = min(len(x), len(y))
+        out.append(bool(may_link(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()), m, n)))
+    return out
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of ``a b na nb`` those that their bitmaps allow to link."""
-    bits = classes.select("class", "bits")
-    both = pairs.join(bits.select(F.col("class").alias("b"), F.col("bits").alias("xb")), "b")
-    both = both.join(bits.select(F.col("class").alias("a"), F.col("bits").alias("xa")), "a")
-
-    def task(batches):
-        for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            ok = []
-            for x, y, m, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na.tolist(), nb.tolist(), strict=True):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = min(len(x), len(y))
-                ok.append(may_link(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()), m, n))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(task, "a long, b long")
+    """Of ``a b`` those that their bitmaps allow to link."""
+    size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
+    return compared(pairs, classes.select("class", F.concat(size, F.col("bits")).alias("value")), _bound)
 
 
 def may_link(differing, m, n):
@@ -360,16 +431,34 @@ def among_first(keys: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], near: int | None, most: int | None):
+def earlier(lists: list) -> np.ndarray | None:
+    """Bits for the shingles of each row's list that another row has too; None where there are none."""
+    row = np.repeat(np.arange(len(lists)), [len(x) if x is not None else 0 for x in lists])
+    if not len(row):
+        return None
+    _, at, n = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists if x is not None]), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    shared = n[at] > 1
+    if not shared.any():
+        return None
+    out = np.zeros((len(lists), int(column[-1]) // 64 + 1), np.uint64)
+    c = column[at[shared]]
+    np.bitwise_or.at(out, (row[shared], c >> 6), np.uint64(1) << (c & 63).astype(np.uint64))
+    return out
+
+
+def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], lists: list, near: int | None, most: int | None):
     """Pairs (i, j) of one tile that may link and stand in two components; whether any were held back.
 
-    side: 0 for rows that meet all, 1 for rows that meet only those of side 0.
+    side: rows of side 0 and 1 meet those of the other only, rows of side 2 all.
+    lists: shingles before this one; a pair that shares one of them is another tile's.
     near: only what is among the nearest so many of either row; most: only so many
     of each two components, the nearest first.
     """
     order = np.argsort(n, kind="stable")
     raw = [np.frombuffer(bits[i], np.uint8) for i in order]
     n_, comp_, side_ = n[order], comp[order], side[order]
+    before = earlier([lists[i] for i in order])
     found: list[tuple] = []
     a = 0
     while a < len(order) - 1:
@@ -386,11 +475,13 @@ def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[byt
             if stop <= i + 1:
                 continue
             j = np.arange(i + 1, stop)
-            j = j[(comp_[j] != comp_[i]) & ((side_[j] == 0) | (side_[i] == 0))]
+            j = j[(comp_[j] != comp_[i]) & ((side_[j] != side_[i]) | (side_[i] == 2))]
             if not len(j):
                 continue
             differing = np.bitwise_count(words[j - a] ^ words[i - a]).sum(axis=1).astype(np.int64)
             ok = may_link(differing, n_[i], n_[j])
+            if before is not None and ok.any():
+                ok[ok] = ~(before[j[ok]] & before[i]).any(axis=1)
             if ok.any():
                 found.append((np.full(int(ok.sum()), i), j[ok], differing[ok]))
         a = z
@@ -422,58 +513,54 @@ def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, near: int | N
         F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("giant_blocks"),
     )
     rows = rows.join(groups, "token")
-    one = F.col("m") <= BLOCK
+    lists = rows.groupBy("class").agg(F.when(F.count(F.lit(1)) <= LISTED, F.collect_list("token")).alias("tokens"))
     is_giant = F.col("comp") == F.col("giant")
     block = lambda of: F.pmod(F.xxhash64("class"), F.col(of)).cast("int")
-    up_to = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    upto = lambda a, b: F.when(F.lit(a) < F.lit(b), F.sequence(F.lit(a), F.lit(b) - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    own = F.when(is_giant, block("giant_blocks")).otherwise(block("rest_blocks"))
-    rows = rows.withColumn("own", own)
-    zero = F.lit(0)
+    rows = rows.withColumn("own", F.when(is_giant, block("giant_blocks")).otherwise(block("rest_blocks")))
+    own, zero = F.col("own"), F.lit(0)
+    # a block meets itself in one tile and each other block in one; the blocks of the largest component meet the rest alone
     where = (
-        F.when(one, F.array(tile(0, zero, zero, 0)))
-        .when(is_giant, F.transform(up_to("rest_blocks"), lambda i: tile(2, i, F.col("own"), 1)))
+        F.when(F.col("m") <= BLOCK, F.array(tile(0, zero, zero, 2)))
+        .when(is_giant, F.transform(upto(zero, F.col("rest_blocks")), lambda i: tile(2, i, own, 1)))
         .otherwise(
             F.concat(
-                F.transform(up_to("rest_blocks"), lambda j: tile(1, F.least("own", j), F.greatest("own", j), 0)),
-                F.transform(up_to("giant_blocks"), lambda j: tile(2, F.col("own"), j, 0)),
+                F.array(tile(1, own, own, 2)),
+                F.transform(upto(zero, own), lambda i: tile(1, i, own, 1)),
+                F.transform(upto(own + 1, F.col("rest_blocks")), lambda j: tile(1, own, j, 0)),
+                F.transform(upto(zero, F.col("giant_blocks")), lambda j: tile(2, own, j, 0)),
             )
         )
     )
     rows = rows.select("token", "class", "n", "comp", F.explode(where).alias("t")).select("token", "t.kind", "t.i", "t.j", "t.side", "class", "n", "comp")
-    rows = rows.join(classes.select("class", "bits"), "class")
+    rows = rows.join(classes.select("class", "bits"), "class").join(lists, "class")
     key = ["token", "kind", "i", "j"]
-    rows = rows.select(*key, "side", "class", "n", "comp", "bits").repartition(*key).sortWithinPartitions(*key)
+    before = F.filter("tokens", lambda x: x < F.col("token")).alias("before")
+    rows = rows.select(*key, "side", "class", "n", "comp", "bits", before).repartition(*key).sortWithinPartitions(*key)
+
+    def search(t: pa.Table):
+        cl, comp = t.column("class").to_numpy(), t.column("comp").to_numpy()
+        if len(cl) < 2 or (comp == comp[0]).all():
+            return None
+        i, j, held = tile_pairs(t.column("n").to_numpy(), comp, t.column("side").to_numpy(), t.column("bits").to_pylist(), t.column("before").to_pylist(), near, most)
+        if not len(i):
+            return None
+        a, b = pa.array(np.minimum(cl[i], cl[j])), pa.array(np.maximum(cl[i], cl[j]))
+        if held:
+            a = pa.concat_arrays([a, pa.array([t.column("token")[0].as_py()], pa.int64())])
+            b = pa.concat_arrays([b, pa.nulls(1, pa.int64())])
+        return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
     def task(batches):
         rest: pa.Table | None = None
-        done: set[tuple] = set()
-
-        def search(t: pa.Table):
-            cl = t.column("class").to_numpy()
-            name = hashlib.blake2b(np.sort(cl).tobytes(), digest_size=16).digest()
-            if len(cl) < 2 or name in done:  # another shingle's classes are the same
-                return None
-            done.add(name)
-            comp = t.column("comp").to_numpy()
-            if (comp == comp[0]).all():
-                return None
-            i, j, held = tile_pairs(t.column("n").to_numpy(), comp, t.column("side").to_numpy(), t.column("bits").to_pylist(), near, most)
-            if not len(i):
-                return None
-            a, b = pa.array(np.minimum(cl[i], cl[j])), pa.array(np.maximum(cl[i], cl[j]))
-            if held:
-                a = pa.concat_arrays([a, pa.array([t.column("token")[0].as_py()], pa.int64())])
-                b = pa.concat_arrays([b, pa.nulls(1, pa.int64())])
-            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            keys = [t.column(k).to_numpy() for k in key]
             new = np.zeros(t.num_rows - 1, bool)
-            for k in keys:
-                new |= k[1:] != k[:-1]
+            for k in key:
+                x = t.column(k).to_numpy()
+                new |= x[1:] != x[:-1]
             edges = np.concatenate(([0], np.flatnonzero(new) + 1))
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if (got := search(t.slice(x, y - x))) is not None:
@@ -482,57 +569,76 @@ def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, near: int | N
         if rest is not None and (got := search(rest)) is not None:
             yield got
 
-    return rows.mapInArrow(task, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(task), "a long, b long").distinct()
+
+
+def shared_shingles(each: DataFrame) -> DataFrame:
+    """``token class n lo hi`` (kept) of the shingles that two classes or more have in their prefixes; lo and hi are two leaders.
+
+    The shingles of one passage have the same classes: one of them stands for all.
+    One exchange serves distinct rows, leaders and digests alike: shingles that aren't
+    common have few rows, and the common ones are dealt by their classes as well.
+    """
+    told = ["lo", "hi", "m", "h1", "h2"]
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("class"), F.lit(SALTS))).otherwise(-1).cast("int")
+    rows = each.withColumn("salt", salt).repartition("token", "salt").dropDuplicates(["token", "salt", "class"])
+    part = Window.partitionBy("token", "salt")
+    rows = rows.select(
+        "token", "salt", "class", "n", F.min("class").over(part).alias("lo"), F.max("class").over(part).alias("hi"), F.count(F.lit(1)).over(part).alias("m"),
+        F.bit_xor(F.xxhash64("class")).over(part).alias("h1"), F.bit_xor(F.xxhash64(F.lit("set"), "class")).over(part).alias("h2"),
+    )
+    rows = keep(rows.where("lo != hi OR salt >= 0"))
+    hot = rows.where("salt >= 0")
+    whole = hot.where("class = lo").groupBy("token").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")
+    )
+    hot = hot.drop(*told).join(whole.where("lo != hi"), "token")
+    rows = rows.where("salt < 0").select("token", "class", "n", *told).unionByName(hot.select("token", "class", "n", *told))
+    lead = rows.where("class = lo").groupBy("m", "h1", "h2").agg(F.min("token").alias("token"))
+    return keep(rows.select("token", "class", "n", "lo", "hi").join(lead.select("token"), "token", "left_semi"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id n_shingles class component_id`` for each row."""
     rows, counted = profiles(docs, doc_id, text)
+    renamed = clashes(rows)
+    if renamed:
+        names = F.create_map(*(F.lit(x) for (c, k), to in renamed.items() for x in (f"{c} {k}", to)))
+        rows = rows.withColumn("class", F.coalesce(F.try_element_at(names, F.concat_ws(" ", "class", "check")), "class"))
     full = rows.where("n > 0")
     classes = keep(
         full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     )
+    # at most COMMON_SHARE times the mean size of a set
     often = counted.where(F.col("n") >= F.lit(max(LOCAL_COMMON, classes.count() // COMMON_SHARE)))
-    common = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").collect()]
-
-    each = prefixes(docs, text, common)
-    alone = Window.partitionBy("token")
-    # shingles that aren't common have few rows each; the common ones need no count
-    light = each.where(~F.col("often")).withColumn("many", F.min("class").over(alone) != F.max("class").over(alone))
-    shared = keep(
-        light.where("many").select("token", "class", "n").unionByName(each.where("often").select("token", "class", "n")).distinct()
-    )
+    common = [r["token"] for r in often.select("token").collect()]
 
-    # the shingles of one passage have the same classes: one of them stands for all
-    sets = shared.groupBy("token").agg(
-        F.min(F.struct("class", "n")).alias("lo"), F.max(F.struct("class", "n")).alias("hi"), F.count(F.lit(1)).alias("m"),
-        F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("set"), "class")).alias("h2"),
-    )
-    lead = sets.where("lo.class != hi.class").groupBy("m", "h1", "h2").agg(F.min(F.struct("token", "lo", "hi")).alias("g"))
-    shared = keep(shared.join(lead.select("g.*"), "token"))
-    led = shared.select("class", "n", F.explode(F.array("lo", "hi")).alias("l"))
-    led = led.where((F.col("class") != F.col("l.class")) & compatible(F.col("n"), F.col("l.n")))
+    shared = shared_shingles(prefixes(docs, text, common, renamed))
+    led = shared.select("class", F.explode(F.array("lo", "hi")).alias("l")).where(F.col("class") != F.col("l"))
+    led = led.select(F.least("class", "l").alias("a"), F.greatest("class", "l").alias("b")).distinct()
+    sizes = classes.select("class", "n")
+    for end in ("a", "b"):
+        led = led.join(sizes.select(F.col("class").alias(end), F.col("n").alias(f"n{end}")), end)
     shared = shared.select("token", "class", "n")
-    first = F.col("class") < F.col("l.class")
-    led = led.select(
-        F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b"),
-        F.when(first, F.col("n")).otherwise(F.col("l.n")).alias("na"), F.when(first, F.col("l.n")).otherwise(F.col("n")).alias("nb"),
-    ).distinct()
-    tested = keep(bounded(led, classes))
-    links = keep(exact(tested, docs, doc_id, text, classes))
-    comps = keep(components(links))
-    for near, most in ROUNDS:
-        passed = keep(tiles(shared, comps, classes, near, most))
+    tested = keep(bounded(led.where(compatible(F.col("na"), F.col("nb"))).select("a", "b"), classes))
+    comps = keep(components(keep(exact(tested, docs, doc_id, text, classes, renamed))))
+    first = shared.groupBy("class", "n").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("ts"))
+    searched = first.select(F.explode("ts").alias("token"), "class", "n")
+    for k, (near, most) in enumerate(ROUNDS):
+        passed = keep(tiles(searched, comps, classes, near, most))
         new = keep(passed.where("b IS NOT NULL").join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            more = keep(exact(new, docs, doc_id, text, classes))
+            more = keep(exact(new, docs, doc_id, text, classes, renamed))
             tested = tested.unionByName(new)
             if not more.isEmpty():
                 comps = keep(merged(comps, more))
+        if k == 0:
+            searched = shared
+            continue
         held = passed.where("b IS NULL").select(F.col("a").alias("token"))
         if held.isEmpty():
             break
-        shared = shared.join(held, "token", "left_semi")
+        searched = searched.join(held, "token", "left_semi")
 
     of_class = classes.join(comps, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     roots = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
