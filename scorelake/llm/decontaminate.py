@@ -8,16 +8,19 @@ transform in a wavelet matrix, searched backward for all windows at once, with
 every ``SAMPLE``-th suffix position kept to locate the occurrences. Occurrences
 of all windows merge into removal spans.
 
-Documents aren't shuffled. The benchmark goes out in broadcasts of at most
-``BLOCK_BYTES`` of text each; a larger one is worked off in several blocks.
+Documents aren't shuffled. The benchmark passes the driver in blocks of at most
+``BLOCK_BYTES`` of text or one item, as flat arrays of word numbers; each block is one
+broadcast and one pass, so neither the driver nor a worker holds two of them.
 Defined results: null or wordless texts have no hits; null items are skipped and
 a null item id is the empty string; repeated items and rows count as they stand;
-empty tables give no hits; extra columns pass through untouched.
+empty tables give no hits; extra columns pass through untouched, but those of a
+result's name are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import text_of
+from scorelake.llm.common import keep, text_of, tidy
 
 WINDOW = 10
 SAMPLE = 16
 BLOCK_BYTES = 32 << 20
 #: Bytes of text at which a shard is closed.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Windows searched, and occurrences located, at a time.
+CHUNK = 1 << 16
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 TABLE = bytes(
@@ -139,80 +144,88 @@ class FMIndex:
         return found
 
 
-def windows_of(items: list[tuple[str, bytes]]) -> dict:
-    """Vocabulary, windows by length, and the items of each window."""
-    vocabulary: dict[bytes, int] = {}
-    by_length: dict[int, dict[tuple, set]] = {}
-    for item, text in items:
-        w = [vocabulary.setdefault(x, len(vocabulary) + 2) for x in words_of(text)]  # 0 ends a shard, 1 parts runs
-        n = min(WINDOW, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            by_length.setdefault(n, {}).setdefault(tuple(w[i : i + n]), set()).add(item)
-    return {
-        "vocabulary": vocabulary,
-        "windows": {n: (np.array(list(x), np.int64), [sorted(v) for v in x.values()]) for n, x in by_length.items()},
-    }
-
-
-def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> list:
-    """Broadcasts of the benchmark's windows, each from at most ``BLOCK_BYTES`` of text or one item."""
-    sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), text_of(text).alias("t"))
-    out, items, held = [], [], 0
+class Block:
+    """Items as word numbers, one after another: a window is a place among them."""
+
+    def __init__(self, items: list[tuple[str, bytes]]):
+        self.vocabulary: dict[bytes, int] = {}
+        self.names, owner = np.unique(np.array([i for i, _ in items], object), return_inverse=True)
+        add = self.vocabulary.setdefault  # 0 ends a shard, 1 parts runs
+        words = [np.array([add(x, len(self.vocabulary) + 2) for x in words_of(t)], np.int32) for _, t in items]
+        size = np.array([len(w) for w in words], np.int64)
+        self.words = np.concatenate([*words, np.zeros(0, np.int32)])
+        start = np.cumsum(size) - size
+        #: Places and owners of the windows by length.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        length = np.minimum(size, WINDOW)
+        for n in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == n)
+            count = size[own] - n + 1
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            self.windows[n] = (np.repeat(start[own], count) + inner, np.repeat(owner[own], count).astype(np.int32))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, words, repeat(1)), np.int32, len(words))
+
+
+def blocks_of(benchmark: DataFrame, item_id: str, text: str):
+    """The benchmark's items, at most ``BLOCK_BYTES`` of text or one item at a time."""
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t"))
+    items, held = [], 0
     for r in rows.toLocalIterator():
         t = r["t"].encode()
         if items and held + len(t) > BLOCK_BYTES:
-            out.append(sc.broadcast(windows_of(items)))
+            yield items
             items, held = [], 0
         items.append((r["i"], t))
         held += len(t)
-    return [*out, sc.broadcast(windows_of(items))]
-
-
-def find(docs: list[list[bytes]], block: dict, hits: list[list], items: list[set]) -> None:
-    """Adds to ``hits`` the word spans (start, end) and to ``items`` the items of a shard's documents."""
-    windows, get = block["windows"], block["vocabulary"].get
-    if not windows:
-        return
-    least = min(windows)
-    parts, at, run_at, run_doc, run_word = [], 0, [], [], []
-    for k, w in enumerate(docs):
-        if len(w) < least:
-            continue
-        ids = np.array([get(x, 1) for x in w], np.int64)
-        edge = np.flatnonzero(np.concatenate(([True], ids == 1, [True])))
-        length = np.diff(edge) - 1
-        for start, n in zip(edge[:-1][length >= least].tolist(), length[length >= least].tolist(), strict=True):
-            parts += [ids[start : start + n], np.ones(1, np.int64)]
-            run_at.append(at)
-            run_doc.append(k)
-            run_word.append(start)
-            at += n + 1
-    if not parts:
-        return
-    index = FMIndex(np.concatenate([*parts, np.zeros(1, np.int64)]))
-    run_at, run_doc, run_word = np.array(run_at), np.array(run_doc), np.array(run_word)
-    for n, (patterns, owners) in windows.items():
-        lo, hi = index.search(patterns)
-        count = hi - lo
-        which = np.repeat(np.arange(len(patterns)), count)
-        rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        position = index.locate(rows)
-        run = np.searchsorted(run_at, position, "right") - 1
-        start = run_word[run] + position - run_at[run]
-        for k, p, s in zip(run_doc[run].tolist(), which.tolist(), start.tolist(), strict=True):
-            hits[k].append((s, s + n))
-            items[k].update(owners[p])
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+    yield items
+
+
+def find(docs: list[np.ndarray], block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's documents (word numbers): where each starts among all words, which words are hit, and document and item pairs."""
+    size = np.array([len(w) for w in docs], np.int64)
+    base = np.cumsum(size + 1) - size - 1  # a gap between documents
+    edges = np.zeros(int((size + 1).sum()) + 1, np.int32)
+    pairs = np.zeros(0, np.int64)
+    if not block.windows:
+        return base, edges[:-1] > 0, pairs
+    least = min(block.windows)
+    whole = np.concatenate([x for w in docs for x in (w, np.ones(1, np.int32))] or [np.zeros(0, np.int32)])
+    parts = np.flatnonzero(np.concatenate(([True], whole == 1)))  # runs lie between these
+    length = np.diff(parts) - 1
+    first, length = parts[:-1][length >= least], length[length >= least]
+    if not len(first):
+        return base, edges[:-1] > 0, pairs
+    run_at = np.cumsum(length + 1) - length - 1
+    inner = np.arange(int((length + 1).sum())) - np.repeat(run_at, length + 1)
+    text = np.concatenate([whole[np.repeat(first, length + 1) + inner], np.zeros(1, np.int32)])  # each run with what ends it
+    index = FMIndex(text.astype(np.int64))
+    for n, (places, owners) in block.windows.items():
+        for a in range(0, len(places), CHUNK):
+            at = places[a : a + CHUNK]
+            lo, hi = index.search(block.words[at[:, None] + np.arange(n)].astype(np.int64))
+            found = np.flatnonzero(hi > lo)
+            upto = np.cumsum(hi[found] - lo[found])
+            for z in range(0, int(upto[-1]) if len(upto) else 0, CHUNK):
+                k = np.arange(z, min(z + CHUNK, int(upto[-1])))
+                which = np.searchsorted(upto, k, "right")
+                position = index.locate(hi[found[which]] - (upto[which] - k))
+                run = np.searchsorted(run_at, position, "right") - 1
+                word = first[run] + position - run_at[run]
+                np.add.at(edges, word, 1)
+                np.add.at(edges, word + n, -1)
+                doc = np.searchsorted(base, word, "right") - 1
+                pairs = np.union1d(pairs, doc * len(block.names) + owners[a + found[which]])
+    return base, np.cumsum(edges[:-1]) > 0, pairs
+
+
+def runs_of(hit: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of each run of words that are hit."""
+    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    doc = np.searchsorted(base, start, "right") - 1
+    return doc, start - base[doc], end - base[doc]
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -225,59 +238,92 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", remove: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (default: all) plus ``_n_words _spans _items``; with ``remove``, text is cut.
+NAMES = ("_n_words", "_spans", "_items")
 
-    _spans: merged word spans (start, end) of the hits; _items: ids, sorted.
+
+def annotate(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", remove: bool = False,
+    carry: list[str] | None = None, names: tuple[str, str, str] = NAMES,
+) -> DataFrame:
+    """The columns ``carry`` (default: all) plus ``names``: words, spans, items; with ``remove``, text is cut.
+
+    Spans: merged word spans (start, end) of the hits; items: ids, sorted.
     """
-    blocks = blocks_of(benchmark, item_id, item_text)
-    carry = docs.columns if carry is None else carry
+    taken = {n.lower() for n in names}
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
+    source = docs.select(*(f"`{c}`" for c in dict.fromkeys([*carry, text])))
+    before, held = None, None
+    for items in blocks_of(benchmark, item_id, item_text):
+        if before is not None:  # another block: what the one before found is kept with the rows
+            source = keep(_pass(source, held, text, source.columns, names, before, False))
+            held.unpersist()
+            before = names
+        held = docs.sparkSession.sparkContext.broadcast(Block(items))
+        before = before or ()
+    return _pass(source, held, text, carry, names, before, remove)
+
+
+def _pass(docs: DataFrame, held, text: str, carry: list[str], names: tuple[str, str, str], before: tuple[str, ...], remove: bool) -> DataFrame:
+    """One block's hits, joined to those of the blocks ``before``."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType(
-        [docs.schema[c] for c in carry]
-        + [T.StructField("_n_words", T.LongType()), T.StructField("_spans", span), T.StructField("_items", T.ArrayType(T.StringType()))]
-    )
+    carry = [c for c in carry if c not in names]
+    own = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), span, T.ArrayType(T.StringType())), strict=True)]
+    schema = T.StructType([docs.schema[c] for c in carry] + own)
     place, columns = docs.columns.index(text), [docs.columns.index(c) for c in carry]
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    past = [docs.columns.index(c) for c in before]
+
+    def lists(doc: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), values)
 
-    def done(batches: list[pa.RecordBatch], words: list[list[bytes]]):
-        hits: list[list] = [[] for _ in words]
-        items: list[set] = [set() for _ in words]
-        for b in blocks:
-            find(words, b.value, hits, items)
+    def done(batches: list[pa.RecordBatch], words: list[np.ndarray], block: Block):
+        base, hit, pairs = find(words, block)
+        size = np.array([len(w) for w in words], np.int64)
         at = 0
         for batch in batches:
             n = batch.num_rows
-            spans = [merged(x) for x in hits[at : at + n]]
+            if past:  # the spans of blocks before count as hits
+                old = batch.column(past[1])
+                doc = np.repeat(np.arange(n), np.diff(old.offsets.to_numpy()))
+                flat = old.flatten()
+                for k, a, b in zip(doc.tolist(), flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True):
+                    hit[base[at + k] + a : base[at + k] + b] = True
+            first, last = base[at], base[at + n - 1] + size[at + n - 1]
+            doc, start, end = runs_of(hit[first:last], base[at : at + n] - first)
+            spans = lists(doc, n, pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"]))
+            mine = pairs[(pairs >= at * len(block.names)) & (pairs < (at + n) * len(block.names))] if len(block.names) else pairs
+            owner = mine // max(1, len(block.names)) - at
+            items = lists(owner, n, pa.array(block.names[mine % max(1, len(block.names))].tolist() if len(mine) else [], pa.string()))
+            if past:
+                items = pa.array([sorted({*a, *b}) for a, b in zip(items.to_pylist(), batch.column(past[2]).to_pylist(), strict=True)], pa.list_(pa.string()))
             cols = [batch.column(c) for c in columns]
-            if remove and any(spans):
+            if remove and len(doc):
                 texts = batch.column(place).to_pylist()
-                new = [cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-                cols = [pa.array(new, batch.column(place).type) if c == place else x for c, x in zip(columns, cols, strict=True)]
-            cols += [
-                pa.array([len(w) for w in words[at : at + n]], pa.int64()),
-                pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span_type),
-                pa.array([sorted(x) for x in items[at : at + n]], pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                edges = np.searchsorted(doc, np.arange(n + 1))
+                for k in np.unique(doc).tolist():
+                    own = slice(edges[k], edges[k + 1])
+                    texts[k] = cut(texts[k], list(zip(start[own].tolist(), end[own].tolist(), strict=True)))
+                new = pa.array(texts, batch.column(place).type)
+                cols = [new if c == place else x for c, x in zip(columns, cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(size[at : at + n]), spans, items], names=schema.names)
             at += n
 
     def task(batches):
-        held, words, size = [], [], 0
+        block: Block = held.value
+        waiting, words, size = [], [], 0
         for whole in batches:
-            for first in range(0, whole.num_rows, 2000):
-                batch = whole.slice(first, 2000)
-                texts = batch.column(place).cast(pa.binary()).to_pylist()
-                held.append(batch)
-                words += [words_of(x or b"") for x in texts]
-                size += sum(len(x or b"") for x in texts)
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                texts = [x or b"" for x in batch.column(place).cast(pa.binary()).to_pylist()]
+                waiting.append(batch)
+                words += [block.numbers(words_of(x)) for x in texts]
+                size += sum(map(len, texts))
                 if size >= SHARD_BYTES:
-                    yield from done(held, words)
-                    held, words, size = [], [], 0
-        if held:
-            yield from done(held, words)
+                    yield from done(waiting, words, block)
+                    waiting, words, size = [], [], 0
+        if waiting:
+            yield from done(waiting, words, block)
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(tidy(task), schema)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
