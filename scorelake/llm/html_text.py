@@ -3,16 +3,23 @@
 A page is a sequence of tags and words. Each token scores the log odds of
 standing inside the article rather than outside, as counted over labelled pages
 (those that mark exactly one ``article``); words come out positive, the tags of
-menus and the like negative. One linear scan finds the contiguous region of the
-greatest sum, whose blocks are the text. Inside it, elements that hold no
-article text by their name or class (menus, asides, forms, comments, adverts)
-are left out.
+menus and the like negative. Where a page marks articles, what stands in them speaks
+for a region and what stands beside them as much against it. One linear scan finds
+the contiguous region of the greatest sum, whose blocks are the text.
+
+Elements that hold no article text by their name, role, or a class or id made of
+telling words only (menus, asides, forms, comments, adverts) are left out before
+the scan: inside an article they neither end a region nor weigh in it. An element
+that holds all articles of a page stays. Elements end as in HTML 5: by their tag,
+by a tag that implies it, or with their parent; a left-out element that lacks an
+end tag it needs covers its own words, or else its first child, and not the page.
 
 Counts go through the driver: one row for each kind of token, whose number is
-fixed by ``TAGS`` and ``MARKS``. Pages are read one by one, whole. Defined results: null,
+fixed by ``TAGS``. Pages are read one by one, whole. Defined results: null,
 empty and wordless pages have the text ""; character references are decoded as
-in HTML 5; unclosed elements end with the page; repeated rows each count; without
-labelled pages fixed weights are used; extra columns are ignored.
+in HTML 5; a ``<`` that starts no tag is text; repeated rows each count; without
+labelled pages fixed weights are used; an input column of the result's name is
+replaced if carried; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,76 +32,175 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from scorelake.llm.common import tidy
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 INLINE = frozenset("a abbr b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 TAGS = BLOCKS | INLINE
-#: Elements without article text, by name, and words of a class, id or role that tell the same.
-DROPPED = frozenset("nav footer aside form button select fieldset menu dialog head title iframe object svg audio video canvas".split())
+#: Elements without article text, by name; a header only outside of articles.
+DROPPED = frozenset("nav footer aside form button select fieldset menu dialog head iframe object svg audio video canvas".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words of a class or id that tell the same, and words that say nothing beside them.
 MARKS = frozenset(
-    "ad ads advert advertisement adverts sponsor sponsored promo sidebar comment comments respond disqus cookie cookies consent notice notices banner popup modal newsletter subscribe share social related recommended menu nav navigation navbar breadcrumb breadcrumbs footer header masthead pagination pager toolbar widget search login".split()
+    "ad ads advert advertisement adverts sponsor sponsored promo promotion sidebar comment comments respond disqus cookie cookies consent notice notices banner popup modal newsletter subscribe share sharing social related recommended menu nav navigation navbar breadcrumb breadcrumbs footer header masthead pagination pager toolbar widget search login".split()
+)
+FILLERS = frozenset(
+    "area bar block bottom box buttons card container content footer for form header holder inner item items js left links list main message of outer page panel posts primary reader right row secondary section site slot the top unit user wrap wrapper".split()
 )
 #: Not parents of anything, so that no end tag is waited for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a start tag of these ends, up to the elements that hold them.
+CLOSES = {
+    **dict.fromkeys(["li"], (("li",), ("ul", "ol", "menu"))),
+    **dict.fromkeys(["dt", "dd"], (("dt", "dd"), ("dl",))),
+    **dict.fromkeys(["td", "th"], (("td", "th"), ("tr", "table"))),
+    **dict.fromkeys(["tr"], (("td", "th", "tr"), ("table",))),
+    **dict.fromkeys(["tbody", "thead", "tfoot"], (("td", "th", "tr", "tbody", "thead", "tfoot"), ("table",))),
+    **dict.fromkeys(["option", "optgroup"], (("option",), ("select",))),
+}
+ENDS_ITSELF = frozenset("p li dt dd td th tr tbody thead tfoot option optgroup body html head".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[^>]*>?|[^<]+",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title|xmp|noembed|noframes)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?>\"[^\"]*\"|'[^']*')|[^>])*+)>"
+    r"|<[/!?a-zA-Z][^>]*>?|(?:[^<]|<(?![a-zA-Z/!?]))+",
     re.S | re.I,
 )
-MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-PARTS = re.compile(r"[a-z]+")
-FIXED = {"word": 1.0, "word-": -4.0, "tag": -1.0, "tag-": -8.0}
+ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Weights without labelled pages: tags of running text weigh nothing.
+FIXED = {"word": 1.0, "tag": -1.0} | {k + t: 0.0 for k in "</" for t in INLINE - {"a"} | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "article", "main"}}
+#: Tags weigh this much at most, for or against.
+MOST = 3.0
+#: Levels of nesting that are followed.
+DEPTH = 512
+#: Where a token stands: on a page that marks no article, in one that the page marks, outside of those, in a left-out element.
+IN, WITHIN, BESIDE, OUT = 0, 1, 2, 3
 
 
-def _marked(attributes: str) -> bool:
-    return any(not MARKS.isdisjoint(PARTS.findall((a or b or c).lower())) for a, b, c in MARKED.findall(attributes))
+def tells(attributes: str) -> bool:
+    """Whether a role says so, or all words of a class or id are telling ones, fillers or numbers, and one is telling."""
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        value = a or b or c
+        if name.lower() == "role":
+            if not ROLES.isdisjoint(value.lower().split()):
+                return True
+            continue
+        for each in value.split():
+            words = [w.lower() for w in PARTS.findall(each)]
+            if not MARKS.isdisjoint(words) and all(w in MARKS or w in FILLERS or w.isdigit() for w in words):
+                return True
+    return False
 
 
-def tokens(page: str) -> list[tuple[str, int, str | None]]:
-    """(kind, words, text). Kinds: ``word`` (a run of text), ``<tag``, ``/tag``; '-' is added inside dropped elements.
+def parsed(page: str) -> list[list]:
+    """``[kind, words, text, place]`` of each token. Kinds: ``word`` (a run of text, standing for its words), ``<tag``, ``/tag``.
 
-    A run of text stands for its words. Text is None for tags; what is neither
-    tag nor text (comments, scripts) is left out.
+    What is neither tag nor text (comments, scripts) is left out.
     """
-    out: list[tuple[str, int, str | None]] = []
-    waits, depth = "", 0  # the dropped element that is open, and how many of its name
+    out: list[list] = []
+    stack: list[tuple[str, int]] = []  # name and element
+    elements: list[list] = []  # first token, end, name, may be left out, has its own end or needs none
+    articles: list[int] = []
+
+    def close(to: int, own: bool) -> None:
+        for k in range(len(stack) - 1, to - 1, -1):
+            name, e = stack[k]
+            elements[e][1] = len(out)
+            elements[e][4] = name in ENDS_ITSELF or own and k == to
+        del stack[to:]
+
     for m in TOKEN.finditer(page):
-        whole, tag = m[0], m[3]
+        tag = m[3]
         if tag is None:
-            if m[1] is None and not whole.startswith("<"):
-                out.append(("word-" if waits else "word", len(whole.split()), whole))
+            if m[1] is None and (m[0][0] != "<" or m[0][1:2] not in "/!?" and not m[0][1:2].isalpha()):
+                out.append(["word", len(m[0].split()), html.unescape(m[0]), IN])
             continue
         tag = tag.lower()
-        closing = m[2] == "/"
         name = tag if tag in TAGS or tag in DROPPED else "other"
-        if waits:
-            if tag == waits:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    waits = ""
-            out.append((("/" if closing else "<") + name + "-", 0, None))
-        elif not closing and tag not in VOID and (tag in DROPPED or m[4] and tag not in ("html", "body", "article", "main") and _marked(m[4])):
-            waits, depth = tag, 1
-            out.append(("<" + name + "-", 0, None))
-        else:
-            out.append((("/" if closing else "<") + name, 0, None))
+        names = [n for n, _ in stack]
+        if m[2]:
+            if tag in names:
+                at = len(names) - 1 - names[::-1].index(tag)
+                if tag in BLOCKS or tag in DROPPED or BLOCKS.isdisjoint(names[at + 1 :]):
+                    close(at, True)
+                else:  # an inline end tag doesn't end blocks
+                    elements[stack[at][1]][1], elements[stack[at][1]][4] = len(out), True
+                    del stack[at]
+            out.append(["/" + name, 0, None, IN])
+            continue
+        if tag in BLOCKS and "p" in names:
+            at = len(names) - 1 - names[::-1].index("p")
+            if {"td", "th", "table", "button", "object"}.isdisjoint(names[at + 1 :]):
+                close(at, False)
+        if tag in CLOSES:
+            ends, holders = CLOSES[tag]
+            at = len(stack)
+            while at and stack[at - 1][0] not in holders:
+                at -= 1
+            first = next((k for k in range(at, len(stack)) if stack[k][0] in ends), None)
+            if first is not None:
+                close(first, False)
+        if tag not in VOID and not m[4].endswith("/") and len(stack) < DEPTH:
+            inside = any(n in ("article", "main") for n, _ in stack)
+            drop = tag in DROPPED or tag == "header" and not inside or bool(m[4]) and tag not in ("html", "body") and tells(m[4])
+            if tag in ("article", "main") and not drop:
+                articles.append(len(elements))
+            stack.append((tag, len(elements)))
+            elements.append([len(out), len(page), tag, drop, tag in ENDS_ITSELF])
+        out.append(["<" + name, 0, None, IN])
+    close(0, False)
+
+    n = len(out)
+    for e in elements:
+        e[1] = min(e[1], n)
+    spans = []
+    for first, end, name, drop, ended in elements:
+        if not drop:
+            continue
+        if not ended:  # its own words, or else its first child
+            k = first + 1
+            while k < end and not _edge(out[k][0]):
+                k += 1
+            if not any(out[i][1] for i in range(first, k)):
+                k = next((min(e[1] + 1, end) for e in elements if e[0] == k), k)
+            end = k
+        spans.append((first, end, name))
+    # main articles: those that no left-out element holds, unless it holds all
+    held = lambda a, s: s[0] < elements[a][0] < s[1]
+    # an element may hold all articles of the page only if it isn't an aside, a menu or a footer
+    whole = lambda s: bool(articles) and s[2] not in ("nav", "footer", "aside", "head") and all(held(a, s) for a in articles)
+    spans = [s for s in spans if not whole(s)]
+    marked = [elements[a] for a in articles if not any(held(a, s) for s in spans)]
+    if marked:
+        inside = [False] * n
+        for first, end, *_ in marked:
+            inside[first:end] = [True] * (end - first)
+        for i in range(n):
+            out[i][3] = WITHIN if inside[i] else BESIDE
+    for first, end, _ in spans:
+        for i in range(first, min(end + 1, n)):
+            out[i][3] = OUT
     return out
 
 
-def count(page: str) -> Counter | None:
+def _edge(kind: str) -> bool:
+    return kind[0] != "w" and kind[1:] in BLOCKS
+
+
+def count(found: list[list]) -> Counter | None:
     """Tokens inside and outside of the page's one article; None where the page has no such label."""
-    found = tokens(page)
     opens = [i for i, x in enumerate(found) if x[0] == "<article"]
     ends = [i for i, x in enumerate(found) if x[0] == "/article"]
     if len(opens) != 1 or len(ends) != 1 or ends[0] < opens[0]:
         return None
     n: Counter = Counter()
-    for i, (kind, words, _) in enumerate(found):
-        n[kind, opens[0] <= i < ends[0]] += words if kind.startswith("word") else 1
+    for i, (kind, words, _, place) in enumerate(found):
+        n[kind, opens[0] <= i < ends[0] and place != OUT] += words if kind == "word" else 1
     return n
 
 
@@ -106,14 +212,14 @@ def learn(pages: DataFrame, page: str = "html") -> dict[str, float]:
         for batch in batches:
             total: Counter = Counter()
             for p in batch.column(place).to_pylist():
-                total.update(count(p or "") or {})
+                total.update(count(parsed(p or "")) or {})
             if total:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in total], pa.string()), pa.array([i for _, i in total], pa.bool_()), pa.array(list(total.values()), pa.int64())],
                     names=["kind", "inside", "n"],
                 )
 
-    counted = pages.mapInArrow(each, "kind string, inside boolean, n long").groupBy("kind").agg(
+    counted = pages.mapInArrow(tidy(each), "kind string, inside boolean, n long").groupBy("kind").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")
     )
     rows = [(r["kind"], r["a"], r["b"]) for r in counted.collect()]
@@ -122,16 +228,18 @@ def learn(pages: DataFrame, page: str = "html") -> dict[str, float]:
         return FIXED
     odds = {k: log((a + 0.5) / (inside + 1)) - log((b + 0.5) / (outside + 1)) for k, a, b in rows}
     # words speak for an article by themselves, however the rest of the pages is filled
-    return FIXED | odds | {"word": max(odds.get("word", 0.0), 0.1), "word-": min(odds.get("word-", 0.0), -0.1)}
+    return FIXED | odds | {"word": max(odds.get("word", 0.0), 0.1)}
 
 
-def region(found: list[tuple[str, int, str | None]], weights: dict[str, float]) -> tuple[int, int]:
-    """The contiguous range of greatest sum: the first of the longest such."""
+def region(found: list[list], weights: dict[str, float]) -> tuple[int, int]:
+    """The contiguous range of greatest sum: the first of the shortest such. What is left out weighs nothing."""
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
-    unknown, dropped = weights["tag"], weights["tag-"]
-    for i, (kind, words, _) in enumerate(found):
-        w = weights.get(kind)
-        total += (dropped if kind[-1] == "-" else unknown) if w is None else w * words if kind[0] == "w" else w
+    unknown, word = weights["tag"], weights["word"]
+    for i, (kind, words, _, place) in enumerate(found):
+        if place == OUT:
+            continue
+        w = word * words if kind == "word" else max(-MOST, min(MOST, weights.get(kind, unknown)))
+        total += w if place == IN else abs(w) if place == WITHIN else -abs(w)
         if total < 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -141,22 +249,22 @@ def region(found: list[tuple[str, int, str | None]], weights: dict[str, float])
 
 def extract(page: str, weights: dict[str, float]) -> str:
     """The blocks of the page's region, joined by line breaks."""
-    found = tokens(page)
+    found = parsed(page)
     a, b = region(found, weights)
     # whole blocks: out to the next block tags
-    edge = lambda k: k[0] != "w" and k.strip("</-") in BLOCKS
-    while a > 0 and not edge(found[a - 1][0]):
+    while a > 0 and not _edge(found[a - 1][0]):
         a -= 1
-    while b < len(found) and not edge(found[b][0]):
+    while 0 < b < len(found) and not _edge(found[b][0]):
         b += 1
     blocks, parts = [], []
-    for kind, _, text in [*found[a:b], ("<p", 0, None)]:
+    for kind, _, text, place in [*found[a:b], ["<p", 0, None, IN]]:
         if kind == "word":
-            parts.append(text)
+            if place != OUT:
+                parts.append(text)
         elif kind == "<br":
             parts.append(" ")
-        elif edge(kind):
-            block = " ".join(html.unescape("".join(parts)).split())
+        elif _edge(kind):
+            block = " ".join("".join(parts).split())
             if block:
                 blocks.append(block)
             parts = []
@@ -166,9 +274,9 @@ def extract(page: str, weights: dict[str, float]) -> str:
 def main_text(pages: DataFrame, page: str = "html", weights: dict[str, float] | None = None, carry: list[str] | None = None, name: str = "text") -> DataFrame:
     """The columns ``carry`` (default: all) and the main text of each page."""
     weights = learn(pages, page) if weights is None else weights
-    carry = pages.columns if carry is None else carry
+    carry = [c for c in (pages.columns if carry is None else carry) if c.lower() != name.lower()]
     place, columns = pages.columns.index(page), [pages.columns.index(c) for c in carry]
-    schema = pages.select(*carry).schema.add(name, "string")
+    schema = T.StructType([pages.schema[c] for c in carry] + [T.StructField(name, T.StringType())])
 
     def task(batches):
         for whole in batches:
@@ -177,7 +285,7 @@ def main_text(pages: DataFrame, page: str = "html", weights: dict[str, float] |
                 text = pa.array([extract(p or "", weights) for p in batch.column(place).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), text], names=schema.names)
 
-    return pages.mapInArrow(task, schema)
+    return pages.mapInArrow(tidy(task), schema)
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
