@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import keep
+from scorelake.llm.common import keep, tidy
 
 SHARD_ROWS, LEAST_SHARDS = 16384, 6
 TREES, BITS = 24, 24
@@ -147,7 +147,7 @@ def nearest(rows: DataFrame, query: str = "vec_id % 20 = 0", top: int = 20, vec_
                 )
 
     dealt = built.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(task, "k1 long, k2 long, vec_id long, score double")
+    found = dealt.mapInArrow(tidy(task), "k1 long, k2 long, vec_id long, score double")
     best = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1).drop("r")
     told = asked.withColumnRenamed("vec_id", "query_id").join(found, ["k1", "k2"]).where(F.col("vec_id") != F.col("query_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import keep, text_of
+from scorelake.llm.common import keep, text_of, tidy
 
 
 def remainder(doc_id: str | Column, folds: int) -> Column:
@@ -54,12 +54,12 @@ def scored(
     docs: DataFrame, model, score: Callable, cache: Callable, text: str = "text", name: str = "score",
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """The columns ``carry`` (default: all) and ``score(texts, model, cache)``, from Arrow batches.
+    """The columns ``carry`` (default: all) and ``score(texts, model, cache)``, from Arrow batches; one of that name is replaced.
 
     ``model`` travels as a broadcast; its size is bounded by its own parameters.
     ``cache(model)`` makes what a task keeps between its batches.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != name.lower()]
     held = docs.sparkSession.sparkContext.broadcast(model)
     place, columns = docs.columns.index(text), [docs.columns.index(c) for c in carry]
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(name, T.DoubleType())])
@@ -73,4 +73,4 @@ def scored(
                 value = pa.array(np.asarray(score(texts, held.value, own), np.float64))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), value], names=schema.names)
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(tidy(task), schema)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.llm.common import tidy
 from scorelake.llm.labelled import remainder, sample, scored
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
@@ -79,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=No
                 names=["y", "weight", "luck", "grams", "counts"],
             )
 
-    rows = taken.mapInArrow(bags, "y int, weight double, luck long, grams binary, counts binary").orderBy("luck", "grams").collect()
+    rows = taken.mapInArrow(tidy(bags), "y int, weight double, luck long, grams binary, counts binary").orderBy("luck", "grams").collect()
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
         return {"weights": None, "share": float(y.mean()) if len(y) else 0.0}

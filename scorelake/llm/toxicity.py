@@ -2,8 +2,10 @@
 
 Features of a whole text: densities of a lexicon of words and stems (learned from
 labelled documents), nearness to second-person words, capitals, punctuation
-and obfuscation rates. Trees are grown on one part of a bounded sample, and
-the score is calibrated on the other.
+and obfuscation rates. Every labelled document of a bounded sample serves all
+three: it is measured with a lexicon learned from the other folds, and the
+calibration uses what trees of the other folds say of it. Texts with the same
+least word hash, such as copies, are in one fold.
 
 The sample holds at most ``most`` documents of each class; it and the model go
 through the driver, the corpus doesn't. Scoring is one pass without a shuffle.
@@ -23,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import keep
+from scorelake.llm.common import tidy
 from scorelake.llm.decontaminate import words_of
 from scorelake.llm.labelled import remainder, sample, scored
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: Labelled documents of each class that are learned from, and lexicon entries kept.
-MOST, LEXICON = 3000, 6000
+#: Labelled documents of each class that are learned from, lexicon entries kept, and folds that learn from each other.
+MOST, LEXICON, CROSS = 3000, 6000, 5
 SECOND_PERSON = frozenset(
     w.encode()
     for w in "you your yours yourself u ur du dich dir dein deine ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros".split()
@@ -44,8 +46,8 @@ NAMES = (
     "weight_rate strong_rate strong_count strong_kinds fair_rate fair_count best_mean person_rate person_near"
     " capital_rate mark_rate exclamation_rate hidden_rate hidden_strong log_words mean_word digit_rate"
 ).split()
-#: Log odds from which a word counts as fair or strong evidence.
-FAIR, STRONG = 1.5, 3.0
+#: Log odds from which a word counts as fair or strong evidence; few documents leave them in doubt.
+FAIR, STRONG, DOUBT = 1.5, 3.0, 3.0
 CACHED = 300_000
 
 
@@ -60,41 +62,63 @@ def terms(text: bytes) -> set[bytes]:
     return words | {s for w in words for s in stems(w)}
 
 
-def learn_lexicon(train: DataFrame, least: int = 4, most: int = LEXICON) -> dict[bytes, float]:
+def likeness(text: bytes) -> int:
+    """The least hash of its words: copies agree, and near copies mostly do."""
+    words = list(set(words_of(text)))
+    return int(pd.util.hash_array(np.array(words, dtype=object), categorize=False).min() >> np.uint64(1)) if words else 0
+
+
+def learn_lexicons(train: DataFrame, most: int = LEXICON, folds: int = CROSS) -> list[dict[bytes, float]]:
     """Log odds of words and stems that label-1 documents show more often than the others.
 
-    Documents count by their least term hash, so that copies of one text count once.
+    The first is learned from all documents, the others each without one fold.
+    Documents count by their likeness, so that copies of one text count once.
     """
 
     def each(batches):
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                found = sorted(terms(text or b""))
+                found = list(terms(text or b""))
                 if found:
-                    like = int(pd.util.hash_array(np.array(found, dtype=object), categorize=False).min() >> np.uint64(1))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(found, pa.binary()), pa.array([like] * len(found), pa.int64()), pa.array([y] * len(found), pa.int32())],
+                        [pa.array(found, pa.binary()), pa.array([likeness(text)] * len(found), pa.int64()), pa.array([y] * len(found), pa.int32())],
                         names=["term", "like", "y"],
                     )
 
-    found = train.select("y", "text").mapInArrow(each, "term binary, like long, y int")
-    groups = found.groupBy("term", "y", "like").agg(F.lit(1).alias("n")).groupBy("term")
-    counted = groups.agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    found = train.select("y", "text").mapInArrow(tidy(each), "term binary, like long, y int").distinct()
+    fold = F.col("like") % folds
+    counts = [F.sum(F.when(fold == k, F.col("y")).otherwise(0)).alias(f"bad{k}") for k in range(folds)]
+    counts += [F.sum(F.when(fold == k, 1 - F.col("y")).otherwise(0)).alias(f"good{k}") for k in range(folds)]
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    odds = F.log((F.col("bad") / max(1, n.get(1, 0))) / ((F.col("good") + 0.5) / max(1, n.get(0, 0))))
-    best = counted.where(F.col("bad") >= least).select("term", "bad", odds.alias("odds")).where(F.col("odds") >= FAIR)
-    best = best.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(most)
-    return {bytes(r["term"]): float(r["odds"]) for r in best.collect()}
+    n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
+    least = max(2, min(4, n1 // 20))
+    total = lambda of: sum((F.col(f"{of}{k}") for k in range(1, folds)), F.col(f"{of}0"))
+    counted = found.groupBy("term").agg(*counts).withColumn("bad", total("bad")).withColumn("good", total("good"))
+    odds = F.log((F.col("bad") / n1) / ((F.col("good") + 0.5) / n0)) * F.col("bad") / (F.col("bad") + DOUBT)
+    # those that hold without a fold may miss by all, so twice as many are looked at
+    rows = counted.where(F.col("bad") >= least).withColumn("odds", odds).where(F.col("odds") >= FAIR / 2)
+    rows = rows.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(2 * most).collect()
+
+    def without(k: int | None) -> dict[bytes, float]:
+        best = []
+        for r in rows:
+            bad, good = r["bad"] - (r[f"bad{k}"] if k is not None else 0), r["good"] - (r[f"good{k}"] if k is not None else 0)
+            weight = float(np.log((bad / n1) / ((good + 0.5) / n0))) * bad / (bad + DOUBT) if bad >= least else 0.0
+            if weight >= FAIR:
+                best.append((-weight * bad**0.5, bytes(r["term"]), weight))
+        return {t: w for _, t, w in sorted(best)[:most]}
+
+    return [without(k) for k in (None, *range(folds))]
 
 
 class Weights(dict):
     """A bounded cache of words' weights: the best of the word and its stems, 0 if none is known."""
 
-    def __init__(self, lexicon: dict[bytes, float]):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: dict[bytes, float], most: int = CACHED):
+        self.lexicon, self.most = lexicon, most
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.clear()
         get = self.lexicon.get
         self[word] = found = max(get(word, 0.0), *(get(s, 0.0) for s in stems(word)), 0.0)
@@ -204,33 +228,34 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(xs, np.float64), np.array([p[0] for p in pools for _ in range(2)], np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None, most: int = MOST, doc_id: str = "doc_id", text: str = "text") -> dict:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None, most: int = MOST, doc_id: str = "doc_id", text: str = "text", folds: int = CROSS) -> dict:
     """The model: lexicon, trees and calibration knots."""
     taken = sample(docs, labels, label, most, allowed, doc_id, text)
-    lexicon = learn_lexicon(taken.where(F.pmod("luck", F.lit(10)) < 5))
+    lexicon, *others = learn_lexicons(taken, folds=folds)
 
     def measure(batches):
-        weights = Weights(lexicon)
+        weights = [Weights(x, CACHED // folds) for x in others]
         for batch in batches:
-            found = features([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], weights)
+            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            fold = [likeness(t) % folds for t in texts]
+            found = [features([t], weights[k])[0].tolist() for t, k in zip(texts, fold, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), batch.column("weight"), batch.column("luck"), pa.array(found.tolist(), pa.list_(pa.float64()))],
-                names=["y", "weight", "luck", "x"],
+                [batch.column("y"), batch.column("weight"), batch.column("luck"), pa.array(fold, pa.int32()), pa.array(found, pa.list_(pa.float64()))],
+                names=["y", "weight", "luck", "fold", "x"],
             )
 
-    rows = taken.mapInArrow(measure, "y int, weight double, luck long, x array<double>").toPandas()
+    rows = taken.mapInArrow(tidy(measure), "y int, weight double, luck long, fold int, x array<double>").toPandas()
     rows = rows.sort_values("luck", kind="stable")
-    y, w = rows["y"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64)
+    y, w, fold = rows["y"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64), rows["fold"].to_numpy()
     if len(set(y)) < 2:
         return {"lexicon": lexicon, "trees": None, "share": float(y.mean()) if len(y) else 0.0}
     x = np.stack(rows["x"].to_numpy())
-    part = rows["luck"].to_numpy() % 10
-    # neither the trees nor the calibration see the documents that the lexicon was learned from
-    grown, checked = (part >= 5) & (part < 8), part >= 8
-    if len(set(y[grown])) < 2 or len(set(y[checked])) < 2:
-        grown = checked = np.ones(len(y), bool)
-    trees = Boosted().fit(x[grown], y[grown], w[grown])
-    return {"lexicon": lexicon, "trees": trees, "knots": isotonic(trees.predict(x[checked]), y[checked], w[checked])}
+    told = np.empty(len(y))
+    for k in range(folds):
+        own = fold == k
+        if own.any():
+            told[own] = Boosted().fit(x[~own], y[~own], w[~own]).predict(x[own]) if (~own).any() else 0.0
+    return {"lexicon": lexicon, "trees": Boosted().fit(x, y, w), "knots": isotonic(told, y, w)}
 
 
 def score_texts(texts: list[bytes], model: dict, weights: Weights) -> np.ndarray:
