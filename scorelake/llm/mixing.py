@@ -10,8 +10,8 @@ their number is bounded by the longest text, not by the rows. Documents are
 ranked within (source, length, hash bucket), so that a length which a third of
 all rows share is spread over many tasks. Defined results: a null text has size
 0 and is taken 0 times; a null source is a source of its own, ordered last;
-rows that repeat an id are ranked side by side; an empty table gives an empty
-mix; extra columns are ignored.
+rows that repeat an id are ranked side by side, by their texts; an empty table
+gives an empty mix; extra columns are ignored or pass through.
 """
 
 from __future__ import annotations
@@ -20,27 +20,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import SPACE, keep, text_of
+from scorelake.llm.common import SPACE, columns_of, fresh, keep, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUCKETS = 1024
 #: Bits of the knapsack's table: the remaining budget is worked off by length until it fits.
 MOST_BITS = 1 << 22
+#: Bytes of kept tables.
+TABLE_BYTES = 1 << 28
 
 
 def _sizes(doc_id: str, text: str, source: str, seed: int) -> dict[str, Column]:
-    """src: 's' + source, 'n' for null. luck and bucket: seeded, by the id."""
+    """src: 's' + source, 'n' for null. luck and bucket: seeded, by the id; tie: by the text, for rows of one id."""
     luck = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))
+    tie = F.xxhash64(F.lit(seed), text_of(text))
     return {
         "src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")),
         "size": F.regexp_count(text_of(text), F.lit(f"[^{SPACE}]+")).cast("long"),
         "bucket": F.pmod(luck, F.lit(BUCKETS)).cast("int"),
         "luck": luck,
+        "tie": tie,
     }
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """``doc_id src size bucket luck`` (kept, text-free)."""
+    """``doc_id src size bucket luck tie`` (kept, text-free)."""
     return keep(docs.select(F.col(doc_id).alias("doc_id"), *(c.alias(k) for k, c in _sizes(doc_id, text, source, seed).items())))
 
 
@@ -72,11 +76,12 @@ def targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def fit(sizes, counts, budget: int):
-    """How many of each size to take so that their sum comes nearest to ``budget`` (not above).
+    """How many of each size to take so that their sum is near to ``budget``, not above.
 
     sizes: ascending, positive. An even share of each size first, then sizes from
     the largest down until the rest fits the table, then exact subset sums by
-    bounded knapsack over a bit set.
+    bounded knapsack over a bit set: of what is left then, none comes nearer. Tables
+    beyond ``TABLE_BYTES`` are made anew from the last one kept, not given up.
     """
     sizes, counts = [int(x) for x in sizes], [int(x) for x in counts]
     whole = sum(a * b for a, b in zip(sizes, counts, strict=True))
@@ -84,8 +89,7 @@ def fit(sizes, counts, budget: int):
         return counts
     take = [b * budget // whole for b in counts] if whole else [0] * len(sizes)
     rest = budget - sum(a * b for a, b in zip(sizes, take, strict=True))
-    most = max(4 * max(sizes, default=0), 4096)
-    most = min(most, MOST_BITS)
+    most = min(max(4 * max(sizes, default=0), 4096), MOST_BITS)
     for i in range(len(sizes) - 1, -1, -1):
         if rest <= most:
             break
@@ -93,27 +97,40 @@ def fit(sizes, counts, budget: int):
         if k > 0:
             take[i] += k
             rest -= k * sizes[i]
-    # bounded knapsack: bit s of `reach` says that the sum s can be made; parts of 1, 2, 4, ... copies
-    reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
+    # parts of 1, 2, 4, ... copies of a size; bit s of ``reach`` says that the sum s can be made of the parts so far
+    parts = []
     for i, a in enumerate(sizes):
         spare, part = min(counts[i] - take[i], rest // a), 1
         while spare > 0:
             part = min(part, spare)
-            new = reach | (reach << (a * part)) & mask
-            if new != reach:
-                steps.append((i, part, reach))
-                reach = new
+            parts.append((i, part))
             spare -= part
             part *= 2
-        if reach >> rest & 1 and len(steps) > 64:
-            break
-        if len(steps) * (rest // 8) > 1 << 28:  # bytes of the kept tables
+    mask = (1 << (rest + 1)) - 1
+
+    def with_part(reach: int, k: int) -> int:
+        i, part = parts[k]
+        return reach | (reach << (sizes[i] * part)) & mask
+
+    gap = max(1, -(-len(parts) * (rest // 8 + 1) // TABLE_BYTES))
+    kept, reach, done = {0: 1}, 1, len(parts)
+    for k in range(len(parts)):
+        if reach >> rest & 1:
+            done = k
             break
+        reach = with_part(reach, k)
+        if (k + 1) % gap == 0:
+            kept[k + 1] = reach
     at = reach.bit_length() - 1
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= sizes[i] * part
+    for start in range((done - 1) // gap * gap, -1, -gap) if done else ():
+        tables = [kept[start]]
+        for k in range(start, min(start + gap, done) - 1):
+            tables.append(with_part(tables[-1], k))
+        for k in range(min(start + gap, done) - 1, start - 1, -1):
+            if not tables[k - start] >> at & 1:
+                i, part = parts[k]
+                take[i] += part
+                at -= sizes[i] * part
     return take
 
 
@@ -133,11 +150,13 @@ def plan(docs: DataFrame, goal: DataFrame, max_repeats: int = 2) -> DataFrame:
 
 def _times(rows: DataFrame, cells: DataFrame, src: str, size: str, bucket: str, order: list[str], name: str) -> DataFrame:
     """``rows`` with the times each is taken: by its rank within its cell and the cell's quota."""
-    rank = F.row_number().over(Window.partitionBy(src, size, bucket).orderBy(*order))
-    ranked = rows.withColumn("_rank", rank)
-    on = (ranked[src] == cells["c_src"]) & (ranked[size] == cells["c_size"]) & (ranked[bucket] == cells["c_bucket"])
-    times = F.coalesce(F.col("c_base") + (F.col("_rank") <= F.col("c_quota")).cast("long"), F.lit(0))
-    return ranked.join(cells, on, "left").withColumn(name, times).drop(*cells.columns, "_rank")
+    own = ("c_src", "c_size", "c_bucket", "c_base", "c_quota")
+    rank, *inner = fresh(rows, "_rank", *own)
+    cells = cells.select(*(F.col(c).alias(n) for c, n in zip(own, inner, strict=True)))
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(src, size, bucket).orderBy(*order)))
+    on = (ranked[src] == cells[inner[0]]) & (ranked[size] == cells[inner[1]]) & (ranked[bucket] == cells[inner[2]])
+    times = F.coalesce(F.col(inner[3]) + (F.col(rank) <= F.col(inner[4])).cast("long"), F.lit(0))
+    return ranked.join(cells, on, "left").withColumn(name, times).drop(*inner, rank)
 
 
 def _decide(each: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +179,7 @@ def mix(
     """``doc_id src size source_size target taken`` for every row; taken counts words, repeats included."""
     each = sized(docs, doc_id, text, source, seed)
     goal, cells = _decide(each, weights, share, cap)
-    done = _times(each, cells, "src", "size", "bucket", ["luck", "doc_id"], "times")
+    done = _times(each, cells, "src", "size", "bucket", ["luck", "doc_id", "tie"], "times")
     return done.join(goal, "src").select(
         "doc_id", "src", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken")
     )
@@ -170,12 +189,14 @@ def mixed(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17,
 ) -> DataFrame:
-    """The documents that the mix takes, with ``copies``: how often. Moves the texts once."""
+    """The documents that the mix takes, with ``copies``: how often (a column of that name is replaced). Moves the texts once."""
     _, cells = _decide(sized(docs, doc_id, text, source, seed), weights, share, cap)
     sizes = _sizes(doc_id, text, source, seed)
-    rows = docs.select("*", *(c.alias(f"_{k}") for k, c in sizes.items()))
-    done = _times(rows, cells, "_src", "_size", "_bucket", ["_luck", doc_id], "copies")
-    return done.where("copies > 0").select(*(f"`{c}`" for c in docs.columns), "copies")
+    kept = [c for c in docs.columns if c.lower() != "copies"]
+    names = dict(zip(sizes, fresh(docs, *(f"_{k}" for k in sizes)), strict=True))
+    rows = docs.select(*columns_of(docs, kept), *(c.alias(names[k]) for k, c in sizes.items()))
+    done = _times(rows, cells, names["src"], names["size"], names["bucket"], [names["luck"], doc_id, names["tie"]], "copies")
+    return done.where("copies > 0").select(*columns_of(docs, kept), "copies")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
