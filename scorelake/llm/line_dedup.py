@@ -20,7 +20,8 @@ exact or edited, weigh about one however many they are; documents with less than
 Two hashes (128 bits) stand for a line; no Python runs on the executors, and only
 the last join moves text. Defined results: a null text has no lines and stays
 null; blank lines are never boilerplate; a null site is one site of its own;
-repeated rows are cleaned alike; empty tables give empty tables.
+repeated rows are cleaned alike; empty tables give empty tables; extra columns pass
+through, but ``n_lines`` and ``n_removed`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import keep, row_key, same_row, text_of
+from scorelake.llm.common import columns_of, fresh, keep, row_key, same_row, text_of
 
 MIN_SITES = 8
 #: Share of a line's occurrences with surroundings of their own, in percent.
@@ -164,25 +165,26 @@ def clean(
     """
     lines = _lines(docs, doc_id, text, site, min_chars)
     bad = keep(boilerplate_by_texts(docs, doc_id, text, site, min_sites, min_chars) if by_texts else boilerplate(lines, min_sites, min_contexts))
+    own_id, key, gone, kept, cut = fresh(docs, "_id", "_key", "_gone", "_kept", "_cut")
     hits = (
         lines.join(bad, ["h1", "h2"], "left_semi")
-        .groupBy("_id", "_key")
-        .agg(F.collect_set("pos").alias("_gone"))
+        .groupBy(F.col("_id").alias(own_id), F.col("_key").alias(key))
+        .agg(F.collect_set("pos").alias(gone))
     )
-    whole = docs.select("*", *row_key(doc_id, text))
-    joined = whole.join(hits, same_row(whole, hits), "left").drop(hits["_id"]).drop(hits["_key"])
+    whole = docs.select("*", *(c.alias(n) for c, n in zip(row_key(doc_id, text), (own_id, key), strict=True)))
+    joined = whole.join(hits, (whole[key] == hits[key]) & whole[own_id].eqNullSafe(hits[own_id]), "left").drop(hits[own_id]).drop(hits[key])
     split = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    kept = F.transform(left, lambda i: F.get(split, i))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     # a document is never emptied
-    done = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept)).withColumn(
-        "_cut", F.coalesce(F.exists("_kept", lambda x: F.length(F.trim(x)) > 0), F.lit(False))
+    done = joined.withColumn(kept, F.when(F.col(gone).isNotNull(), F.transform(left, lambda i: F.get(split, i)))).withColumn(
+        cut, F.coalesce(F.exists(kept, lambda x: F.length(F.trim(x)) > 0), F.lit(False))
     )
-    new = F.when(F.col("_cut"), F.array_join("_kept", "\n")).otherwise(F.col(text)).alias(text)
+    new = F.when(F.col(cut), F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text)
+    counts = ("n_lines", "n_removed")
     return done.select(
-        *(new if c == text else F.col(f"`{c}`") for c in docs.columns),
+        *(new if c == text else x for c, x in zip(docs.columns, columns_of(docs), strict=True) if c.lower() not in counts),
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("_cut"), F.size("_gone")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col(cut), F.size(gone)).otherwise(F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

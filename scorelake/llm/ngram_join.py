@@ -14,12 +14,15 @@ class and linked at once, so copies never form pairs. Of classes that differ:
    large groups are split into pairs of blocks, leaving out what one component
    holds on both sides. Bitmaps of two bits and more a shingle bound each
    overlap from above: a pair differs in as many shingles at least as its parity
-   bitmaps differ in bits.
-4. What passes is decided by intersecting the sorted arrays.
-
-A tile reports the nearest pairs of each row first. Tiles that held back more are
-searched again with the components as they are then, first for some pairs of each
-two components, without limit in the end: nothing is capped.
+   bitmaps differ in bits. A pair is reported under the least shingle it shares.
+4. What passes is decided by intersecting the sorted arrays. The class that has more
+   pairs sends its array once for a block of partners.
+
+First come the tiles of a few shingles of each class, which report each row's nearest
+pair: that joins most of what links. Then all tiles are searched that still hold several
+components, and again those that held pairs back, first for some pairs of each two
+components, without limit in the end: nothing is capped.
+A class has 128 bits: sets that share the first 64 get classes of their own.
 Components come from alternating stars over edge tables. No sets, links or
 components go through the driver.
 
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import keep, row_key, same_row, sized_broadcast, text_of, tidy
+from scorelake.llm.common import fresh, keep, row_key, sized_broadcast, text_of, tidy
 
 WORDS, PERCENT = 5, 75
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -650,17 +653,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least id (rows without shingles all stay)."""
-    keyed = docs.select("*", *row_key(doc_id, text))
+    own_id, key = fresh(docs, "_id", "_key")
+    named = [c.alias(n) for c, n in zip(row_key(doc_id, text), (own_id, key), strict=True)]
+    keyed = docs.select("*", *named)
     # the join reads rows under their keys, so that rows with one id but two texts stay apart
-    found = keep(join(keyed.select(F.struct("_id", "_key").alias("_row"), F.col(text).alias("_text")), "_row", "_text"))
-    gone = found.where("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id._id").alias("_id"), F.col("doc_id._key").alias("_key")).distinct()
+    found = keep(join(docs.select(F.struct(*(c.alias(n) for c, n in zip(row_key(doc_id, text), ("_id", "_key"), strict=True))).alias("_row"), F.col(text).alias("_text")), "_row", "_text"))
+    gone = found.where("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id._id").alias(own_id), F.col("doc_id._key").alias(key)).distinct()
     gone = sized_broadcast(keep(gone))
-    stay = keyed.join(gone, same_row(keyed, gone), "left_anti")
+    stay = keyed.join(gone, (keyed[key] == gone[key]) & keyed[own_id].eqNullSafe(gone[own_id]), "left_anti")
     again = found.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.isEmpty():  # a row that stays stands there more than once
         bare = F.trim(F.regexp_replace(text_of(text), r"[\x09-\x0D]", " ")) == ""
-        stay = stay.where(~bare).dropDuplicates(["_id", "_key"]).unionByName(stay.where(bare))
-    return stay.drop("_id", "_key")
+        stay = stay.where(~bare).dropDuplicates([own_id, key]).unionByName(stay.where(bare))
+    return stay.drop(own_id, key)
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
