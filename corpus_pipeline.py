@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from scorelake.llm.common import keep
+from scorelake.llm.common import columns_of, fresh, keep
 from scorelake.llm.labelled import remainder
 
 
@@ -23,12 +23,16 @@ def _measured(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     allowed = remainder("doc_id", toxicity.FOLDS) != toxicity.HELD_OUT
-    scored = toxicity.score(docs, labels, "toxic", allowed, name="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    (name,) = fresh(docs, "_toxicity")
+    scored = toxicity.score(docs, labels, "toxic", allowed, name=name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(line_dedup.clean(docs, by_texts=True).select(*(f"`{c}`" for c in docs.columns)))
+    counts = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
+    aside = dict(zip(counts, fresh(docs, *counts), strict=True))  # the operator's own columns take these names
+    done = line_dedup.clean(docs.withColumnsRenamed(aside), by_texts=True).drop("n_lines", "n_removed")
+    return _measured(done.withColumnsRenamed({new: old for old, new in aside.items()}).select(*columns_of(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +40,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.annotate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove=True)
-    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    left = found.where((F.size("_spans") == 0) | (hit < F.col("_n_words")))
-    return _measured(left.select(*(f"`{c}`" for c in docs.columns)))
+    n_words, spans, items = names = fresh(docs, *decontaminate.NAMES)
+    found = decontaminate.annotate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove=True, names=tuple(names))
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    left = found.where((F.size(spans) == 0) | (hit < F.col(n_words)))
+    return _measured(left.select(*columns_of(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
