@@ -6,6 +6,7 @@ signups carry attributes, the rest are notes. These test what operators mean, no
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorelake.operators import carry, slicing, timing
@@ -124,12 +125,12 @@ CARRY_LAST = f"""WITH {EVENTS} SELECT part_id, event_type, ord, last_value(CASE
 
 
 def _systems(ev):
-    """Systems of five days; attributes are signups and clicks, with a number that is null for every third."""
-    day = F.datediff("measure", F.lit("2024-01-01").cast("date"))
-    return ev.where(F.col("event_type").isin("signup", "click")).select(
+    """Systems of five days up to a part's last; attributes are signups and clicks, with a number that is null for every third."""
+    system = (F.floor(F.datediff("measure", F.lit("2024-01-01").cast("date")) / 5) + 1).cast("int")
+    return ev.select(
         "part_id", F.col("event_type").alias("tag"), F.nullif(F.col("k") % 3, F.lit(0)).alias("number"), "ord",
-        (F.floor(day / 5) + 1).cast("int").alias("system"), F.lit(8).alias("n_systems"),
-    )
+        system.alias("system"), F.max(system).over(Window.partitionBy("part_id")).alias("n_systems"),
+    ).where(F.col("tag").isin("signup", "click"))
 
 
 def carry_keyed_asof(spark, sf_dir):
@@ -141,9 +142,11 @@ def carry_keyed_asof(spark, sf_dir):
 CARRY_ASOF = f"""WITH {EVENTS}, a AS (
   SELECT part_id, event_type AS tag, nullif(k % 3, 0) AS number, ord, CAST(floor((measure - DATE '2024-01-01') / 5) AS INT) + 1 AS system
   FROM ev WHERE event_type IN ('signup', 'click')
-), s AS (SELECT unnest(range(1, 9)) AS system), g AS (
+), s AS (
+  SELECT part_id, unnest(range(1, max(CAST(floor((measure - DATE '2024-01-01') / 5) AS INT) + 2))) AS system FROM ev GROUP BY 1
+), g AS (
   SELECT a.part_id, CAST(s.system AS INT) AS system, a.tag, a.number, max(a.ord) AS ord, min(a.ord) AS seen
-  FROM s JOIN a ON a.system < s.system GROUP BY ALL
+  FROM s JOIN a ON a.part_id = s.part_id AND a.system < s.system GROUP BY ALL
 )
 SELECT part_id, system, tag, number, ord, CAST(row_number() OVER (PARTITION BY part_id, system ORDER BY seen) AS INT) AS key_order FROM g"""
 
@@ -197,9 +200,11 @@ def _attributes(spark, sf_dir):
 
 
 def inject_missing(spark, sf_dir):
-    """Each measure's attributes after what the two measures before it have and it lacks was put in."""
+    """Each measure's attributes after what the measures before it have and it lacks was put in."""
     a = _attributes(spark, sf_dir)
-    carried = carry.in_force(a.withColumn("system", F.col("measure").cast("int") + 1).withColumn("n", F.lit(4)), ["conv_id"], ["tag", "number"], "system", ["ord"], "ord", "n")
+    system = F.col("measure").cast("int") + 1
+    sized = a.withColumns({"system": system, "n": F.max(system).over(Window.partitionBy("conv_id"))})
+    carried = carry.in_force(sized, ["conv_id"], ["tag", "number"], "system", ["ord"], "ord", "n")
     carried = carried.withColumn("measure", F.col("system").cast("long") - 1).join(a.select("conv_id", "measure").distinct(), ["conv_id", "measure"], "left_semi")
     return carry.inject(a, carried.drop("ord"), ["conv_id", "measure"], ["tag", "number"], "ord")
 
