@@ -13,7 +13,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
+    "secret_base": secrets.secret_base,
 }
 SQL = {
+    "op3_ngram_join": ngram_join.OP3_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
+    "secret_base": secrets.SECRET_BASE_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }

@@ -2,7 +2,7 @@
 
 Patterns find candidates in whole texts. Their values are hashed and counted
 over the corpus by distinct repositories and owners: a value that many owners
-hold is a widely copied example, one that a single owner holds and that looks
+or repositories hold is a widely copied example, one that few hold and that looks
 random is treated as live. No Python runs on the executors.
 
 Only text-free rows (kind, gap lengths, matches) leave the scan, so no text is
@@ -40,6 +40,8 @@ MORE = (
     ),
 )
 KINDS = BASE + MORE
+#: Characters of different kinds that a value must hold to look random, by its kind; and repositories of a shared example.
+VARIED, WIDE_REPOS = {"assign": 5, "access": 8, "hex": 8, "vendor": 8, "generic": 12}, 20
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567|(.)\1{5}"
 
 
@@ -117,13 +119,17 @@ def scan(
 
     Returns ``doc_id spans`` where ``spans`` is an array, by start and kind, of
     ``start ord kind end hash n_repos n_owners standing``; standing is
-    ``example`` (held by ``wide_owners`` or more owners, or a placeholder) or
-    ``live``. Generic values stay only if a single owner holds them.
+    ``example`` (held by ``wide_owners`` or more owners or ``WIDE_REPOS`` or more
+    repositories, a placeholder, or of too few different characters to be random)
+    or ``live``. Generic values stay only if a single owner holds them.
     """
     found = candidates(docs, doc_id, text, owner, repo)
     each = keep(spans(found))
     order = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k[0], i))), F.col("kind"))
-    live = (F.col("n_owners") < wide_owners) & ~F.col("value").rlike(PLACEHOLDER)
+    varied = F.element_at(F.create_map(*(F.lit(x) for k, n in VARIED.items() for x in (k, n))), F.col("kind"))
+    random = (F.size(F.array_distinct(F.split("value", ""))) >= varied) & F.col("value").rlike("[0-9]")
+    few = (F.col("n_owners") < wide_owners) & (F.col("n_repos") < WIDE_REPOS)
+    live = few & random & ~F.col("value").rlike(PLACEHOLDER)
     told = (
         each.withColumn("hash", F.sha2("value", 256))
         .join(ownership(each), "hash")
@@ -158,3 +164,25 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda x: x["standing"] == "live")).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda x: x["standing"] == "example")).cast("long").alias("n_example"),
     )
+
+
+def secret_base(spark, sf_dir: str) -> DataFrame:
+    """The columns of ``op1_secret_scan`` that SQL can express: the base kinds."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _sql_kind(ord_: int, name: str, pattern: str, value: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{name}' AS kind, {ord_} AS ord, list_sum(list_transform(gaps[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : k - 1], lambda x: length(x))), 0) AS a, length(ms[k]) AS n
+FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {value}) AS vs FROM d))
+WHERE length(vs[k]) >= {least}"""
+
+
+SECRET_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_sql_kind(i, *k) for i, k in enumerate(BASE))}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, ord) AS s FROM f GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
