@@ -198,11 +198,15 @@ def flooded(pages: DataFrame, threshold: str) -> DataFrame:
     return _map(pages, fill, [threshold], _NEW_PAGE)
 
 
+# Weights of small blurs.
+SMALL = {3: [1, 2, 1], 5: [1, 4, 6, 4, 1]}
+
+
 def blurred(image: np.ndarray, k: int) -> np.ndarray:
     """Gaussian blur of odd size k, mirrored at the edges without the edge pixel; as floats."""
     sigma = 0.3 * ((k - 1) * 0.5 - 1) + 0.8
     x = np.arange(k) - k // 2
-    kernel = np.exp(-(x**2) / (2 * sigma**2))
+    kernel = np.array(SMALL[k], np.float64) if k in SMALL else np.exp(-(x**2) / (2 * sigma**2))
     kernel /= kernel.sum()
     out = image.astype(np.float64)
     for axis in (0, 1):
@@ -330,9 +334,27 @@ def main_sheet(pages: DataFrame) -> DataFrame:
     return _cut_to(found, best, pages.columns, 0.0)
 
 
+def _in_blurred(pages: DataFrame, size, dark: bool, denoise: bool = False) -> DataFrame:
+    """``pages`` with the ``parts`` of their blurred images, parted by the blurred images' threshold."""
+    blur = _map(pages.withColumn("_sharp", F.col("gray")), lambda g: {} if g is None else _page(np.rint(blurred(g, size(g)))), [], _NEW_PAGE)
+    found = with_parts(with_histogram(blur).withColumn("_t", otsu_of(F.col("hist"))), "_t", dark, denoise)
+    return found.withColumn("gray", F.col("_sharp"))
+
+
+def outlined_sheet(pages: DataFrame) -> DataFrame:
+    """Pages cut to the light region of the largest box that doesn't touch all borders, found in a coarse blur."""
+    found = _in_blurred(pages, lambda g: max(51, min(g.shape) // 8) | 1, dark=False)
+    w, h = F.col("width"), F.col("height")
+    touches = lambda p: (p["x"] == 0) & (p["y"] == 0) & (p["x"] + p["w"] >= w) & (p["y"] + p["h"] >= h)
+    best = best_part(F.col("parts"), lambda p: p["w"].cast("long") * p["h"], lambda p: ~touches(p))
+    # a box ends with one more row and column, where the page has them
+    wider = F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y"), (best["w"] + 1).alias("w"), (best["h"] + 1).alias("h")))
+    return _cut_to(found, wider, pages.columns, 0.0)
+
+
 def music_block(pages: DataFrame) -> DataFrame:
     """Pages cut to their best block by area and closeness to the centre, shrunk by 1 % on each side."""
-    found = with_parts(with_histogram(pages).withColumn("_t", otsu_of(F.col("hist"))), "_t", denoise=True)
+    found = _in_blurred(pages, lambda g: 5, dark=True, denoise=True)
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     dx, dy = (lambda p: p["x"] + p["w"] / 2.0 - w / 2.0), (lambda p: p["y"] + p["h"] / 2.0 - h / 2.0)
     score = lambda p: p["w"] * p["h"] - 0.5 * (dx(p) * dx(p) + dy(p) * dy(p))

@@ -194,6 +194,43 @@ def score_snippets(spark, sf_dir):
     return score_xml.snippets(nodes, systems, ["l_orderkey"])
 
 
+def _measure_sql(head: str, divisions: str, time: str, note: str) -> str:
+    """A written measure: what comes before its attributes, conditions and values as SQL."""
+    return f"""'    <measure number="' || num || '"{head}      <attributes>\n' || CASE WHEN {divisions} THEN '        <divisions>2</divisions>\n' ELSE '' END
+    || CASE WHEN {time} THEN '        <time>\n          <beats>' || b || '</beats>\n          <beat-type>' || t || '</beat-type>\n        </time>\n' ELSE '' END
+    || '        <clef number="1">\n          <sign>' || f || '</sign>\n        </clef>\n      </attributes>\n      <note{note}>\n        <duration>' || q || '</duration>\n      </note>\n'
+    || '      <backup>\n        <duration>3</duration>\n      </backup>\n      <note>\n        <chord />\n        <duration>9</duration>\n      </note>\n'
+    || '      <forward>\n        <duration>' || num || '</duration>\n      </forward>\n    </measure>'"""
+
+
+def _score_sql(body: str, top: str = "", midi: str = "") -> str:
+    """A written score of two equal parts around the text of their measures."""
+    return f"""'<?xml version="1.0" encoding="UTF-8"?>\n{top}<score-partwise version="3.1">\n  <part-list>\n    <score-part id="P1">\n      <part-name>A</part-name>\n{midi}    </score-part>\n  </part-list>\n'
+    || '  <part id="P1">\n' || {body} || '\n  </part>\n  <part id="P2">\n' || {body} || '\n  </part>\n</score-partwise>'"""
+
+
+_LINES = """l AS (SELECT l_orderkey, l_linenumber AS num, CAST(l_quantity AS INT) AS q, l_returnflag AS f,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_quantity AS INT)) AS i FROM lineitem)"""
+# the signature in force, as for events: a length in whole notes decides unless the hint says the same
+SCORE_CLEAN = f"""WITH {_LINES}, m AS (SELECT *, greatest(q, greatest(0, q - 3) + num) AS span, num % 2 = 1 AS hinted,
+  coalesce(last_value(CASE WHEN num % 3 = 1 THEN 2 END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY i), 1) AS div FROM l),
+r AS (SELECT *, span / div AS own FROM m),
+p AS (SELECT *, lag(own) OVER (PARTITION BY l_orderkey ORDER BY i) AS past FROM r),
+n AS (SELECT *, CASE WHEN hinted OR past IS DISTINCT FROM own THEN CASE WHEN span % div = 0 THEN {{'b': span // div, 't': 4}} ELSE {{'b': span, 't': 4 * div}} END END AS fresh FROM p),
+e AS (SELECT *, last_value(fresh IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY i) AS sig FROM n),
+c AS (SELECT *, sig.b AS b, sig.t AS t, sig IS DISTINCT FROM lag(sig) OVER (PARTITION BY l_orderkey ORDER BY i) AS turns FROM e),
+x AS (SELECT l_orderkey, string_agg({_measure_sql('>\n', 'num % 3 = 1', 'turns', '')}, '\n' ORDER BY i) AS body FROM c GROUP BY 1)
+SELECT l_orderkey, {_score_sql('body', '<!DOCTYPE score-partwise PUBLIC "x" "http://localhost/none.dtd">\n')} AS xml FROM x"""
+_RAW = ' width="9">\n      <print />\n'
+SNIPPETS = f"""WITH {_LINES}, w AS (SELECT *, CASE WHEN num <= 3 THEN 1 ELSE 2 END AS sys, 3 AS b, 4 AS t FROM
+  (SELECT *, row_number() OVER (PARTITION BY l_orderkey, num ORDER BY i DESC) AS r FROM l) WHERE r = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders)),
+s AS (SELECT *, num = min(num) OVER (PARTITION BY l_orderkey, sys) AS leads, sys = 2 AND bool_or(num = 1) OVER (PARTITION BY l_orderkey) AS div_in_force,
+  sys = 2 AND bool_or(num IN (1, 3)) OVER (PARTITION BY l_orderkey) AS time_in_force FROM w),
+x AS (SELECT l_orderkey, 'system' AS kind, sys AS global_id, string_agg({_measure_sql(_RAW, 'num % 3 = 1 OR leads AND div_in_force', 'num % 2 = 1 OR leads AND time_in_force', ' default-x="1"')}, '\n' ORDER BY num) AS body FROM s GROUP BY ALL
+  UNION ALL SELECT l_orderkey, 'measure', num, {_measure_sql(_RAW, 'num % 3 = 1 OR div_in_force', 'num % 2 = 1 OR time_in_force', ' default-x="1"')} FROM s)
+SELECT l_orderkey, kind, CAST(global_id AS INT) AS global_id, {_score_sql('body', midi='      <midi-device />\n')} AS xml FROM x"""
+
+
 def line_fold_header(spark, sf_dir):
     """Documents as engraving text: commas open and full stops close braces, lines that start with E start headers."""
     text = F.regexp_replace(F.translate("text", ",.", "{}"), "(?m)^E", r"\\\\header E")
@@ -293,8 +330,8 @@ QUERIES = {
     "median_skew": (median_skew, SKEW),
     "header_merge": (header_merge, HEADER),
     "score_header": (score_header, SCORE_HEADER),
-    "score_clean": (score_clean, None),
-    "score_snippets": (score_snippets, None),
+    "score_clean": (score_clean, SCORE_CLEAN),
+    "score_snippets": (score_snippets, SNIPPETS),
     "line_fold_header": (line_fold_header, None),
     "fingerprint": (fingerprint, FINGERPRINT),
     "stale_decision": (stale_decision, STALE),

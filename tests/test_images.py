@@ -72,3 +72,44 @@ def test_page_passes(spark):
     assert abs({r["page"]: r["skew"] for r in again.collect()}[1] or 0) < 0.3
     for out in (images.contrast_limited(pages), images.background_normalized(pages), images.flooded(found, "t")):
         assert set(back(out.select("page", "width", "height", "gray"))) == {0, 1, 2}
+
+
+def test_sheet_and_block_in_blurs(spark):
+    dark = np.full((260, 300), 20)
+    dark[40:220, 50:260] = 240
+    block = np.full((200, 240), 250)
+    block[50:150, 60:180] = 15
+    pages = page(spark, dark, block, np.full((60, 60), 255))
+    sheet = back(images.outlined_sheet(pages))
+    # the blur rounds corners and moves edges by the threshold, not more than a few pixels
+    assert abs(sheet[0].shape[0] - 181) <= 12 and abs(sheet[0].shape[1] - 211) <= 12 and sheet[2].shape == (60, 60)
+    cut = back(images.music_block(pages))
+    assert abs(cut[1].shape[0] - 98) <= 4 and abs(cut[1].shape[1] - 116) <= 4 and (cut[1] == 15).mean() > 0.95
+
+
+def test_pixel_passes_match_numpy(spark):
+    """Flood fill, background and equalisation on small pages, against direct forms."""
+    rng = np.random.default_rng(3)
+    noisy = rng.integers(60, 256, (48, 64))
+    noisy[0, 0:9], noisy[1, 3] = 10, 10  # dark pixels that reach a corner
+    noisy[20, 20] = 10
+    pages = page(spark, noisy)
+    seen, stack = set(), [(0, 0)]
+    while stack:
+        y, x = stack.pop()
+        if (y, x) not in seen and 0 <= y < 48 and 0 <= x < 64 and noisy[y, x] <= 30:
+            seen.add((y, x))
+            stack += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    want = noisy.copy()
+    for y, x in seen:
+        want[y, x] = 255
+    ys, xs = np.nonzero(noisy > 30)
+    got = back(images.flooded(pages.withColumn("t", F.lit(30)), "t"))[0]
+    assert (got == want[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]).all()
+    around = np.rint(images.blurred(noisy.astype(np.uint8), 7))
+    assert (back(images.background_normalized(pages))[0] == np.minimum(255, np.rint(noisy * 255.0 / around))).all()
+    flat = back(images.contrast_limited(pages, clip=1e9, tiles=2))[0]
+    tile = noisy[:24, :32]
+    # without a clip, near a corner the tile's own cumulative counts decide
+    for y, x in ((2, 2), (5, 9), (11, 14)):
+        assert abs(int(flat[y, x]) - round((tile <= noisy[y, x]).sum() * 255.0 / tile.size)) <= 1
