@@ -3,51 +3,27 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.sources.tables import materialize
+
 #: Bytes of rows that go to a Python worker at a time while a result is kept.
 BATCH_BYTES = 4 << 20
 #: White space of the word patterns: space, and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) a temporary one is set.
-    """
-    sc = spark.sparkContext
-    set_ = sc.getConf().get("spark.checkpoint.dir", None)
-    if not set_:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scorelake-"))
-        set_ = sc._jsc.sc().getCheckpointDir().get()
-    return set_.rstrip("/")
-
-
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+    """``df`` as a table in the shared folder.
 
     Cuts the lineage: later stages don't run what came before once more, and a
     lost executor takes nothing of it along. Rows with long texts or arrays reach
     Python in batches bounded by bytes, not by their number.
     """
-    path = f"{shared_dir(df.sparkSession)}/scorelake-{uuid.uuid4().hex}"
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = conf.get(name, None)
-    conf.set(name, str(BATCH_BYTES))
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, BATCH_BYTES)
 
 
 def tidy(task):

@@ -9,9 +9,10 @@ number for each word, which a bounded cache keeps.
 
 Grams of a word: itself, its character n-grams of 3 and 4 with its ends marked,
 and the same for the word's shape (letters by case, digits, marks); a word equal
-to the one before it adds the gram of a repeat. Defined results: as for
-toxicity: null and empty texts get the model's bias, and one class or none gives
-every row its share.
+to the one before it adds the gram of a repeat. Defined results: null and empty
+texts get the model's bias, and one class or none gives every row its share; long
+texts are read whole; a document with several labels counts once, by their mean;
+repeated rows score alike; extra columns pass through.
 """
 
 from __future__ import annotations
