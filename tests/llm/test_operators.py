@@ -180,13 +180,21 @@ def test_html_text(spark):
 
 def test_greatest_region_matches_brute_force():
     rng = random.Random(4)
-    weights = html_text.FIXED | {"word": 1.0, "<p": -2.0, "/p": -1.5}
+    weights = html_text.FIXED | {"word": 1.0, "<p": -2.0, "/p": -1.5, "<nav": -9.0}
+    places = [html_text.IN, html_text.IN, html_text.WITHIN, html_text.BESIDE, html_text.OUT]
+
+    def value(part):
+        total = 0.0
+        for kind, n, _, place in part:
+            w = n * weights["word"] if kind == "word" else max(-html_text.MOST, weights[kind])
+            total += {html_text.IN: w, html_text.WITHIN: abs(w), html_text.BESIDE: -abs(w), html_text.OUT: 0}[place]
+        return total
+
     for _ in range(200):
-        found = [rng.choice([("word", rng.randint(0, 4), "x"), ("<p", 0, None), ("/p", 0, None), ("<nav-", 0, None)]) for _ in range(rng.randint(0, 14))]
-        value = lambda a, b: sum(weights[k] * n if k == "word" else weights.get(k, weights["tag-"]) for k, n, _ in found[a:b])
-        best = max((value(a, b) for a in range(len(found) + 1) for b in range(a, len(found) + 1)), default=0)
+        found = [[*rng.choice([("word", rng.randint(0, 4), "x"), ("<p", 0, None), ("/p", 0, None), ("<nav", 0, None)]), rng.choice(places)] for _ in range(rng.randint(0, 14))]
+        best = max((value(found[a:b]) for a in range(len(found) + 1) for b in range(a, len(found) + 1)), default=0)
         a, b = html_text.region(found, weights)
-        assert value(a, b) == pytest.approx(max(best, 0))
+        assert value(found[a:b]) == pytest.approx(max(best, 0))
 
 
 def test_nearest_recall_and_odd_rows(spark):
