@@ -7,12 +7,18 @@ As the model is linear after the average, a gram's vector counts in scoring by
 its product with the softmax weights alone: a document is scored by adding one
 number for each word, which a bounded cache keeps.
 
-Grams of a word: itself, its character n-grams of 3 and 4 with its ends marked,
-and the same for the word's shape (letters by case, digits, marks); a word equal
-to the one before it adds the gram of a repeat. Defined results: null and empty
-texts get the model's bias, and one class or none gives every row its share; long
-texts are read whole; a document with several labels counts once, by their mean;
-repeated rows score alike; extra columns pass through.
+Grams: each word itself, its character n-grams of 3 and 4 with its ends marked, and
+the same for the word's shape (letters by case, digits, marks); each two words in a
+row; a word equal to the one before it adds the gram of a repeat. A step on a
+document follows the gradient of its loss; the step on the vectors is divided by the
+square length of the document's shares (as normalised least mean squares does), so
+that it moves the document's average by as much whether the text is short or long.
+
+Defined results: null and empty texts get the model's bias, and one class or none
+gives every row its share; long texts are read whole, a slice of words at a time; a
+document with several labels counts once, by their mean (a tie of 0.5 is class 1);
+repeated rows score alike; an empty table gives an empty one; extra columns pass
+through, one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -28,13 +34,16 @@ from scorelake.llm.common import tidy
 from scorelake.llm.labelled import remainder, sample, scored
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
-#: Labelled documents of each class that are learned from; buckets, width, passes.
-MOST, BUCKETS, WIDTH, EPOCHS = 1500, 1 << 17, 12, 6
-CACHED = 300_000
+#: Labelled documents of each class that are learned from, bytes of their bags (more are left out of the sample); buckets, width, passes.
+MOST, MOST_BYTES, BUCKETS, WIDTH, EPOCHS = 1500, 256 << 20, 1 << 17, 12, 6
+#: Words that a cache keeps, words of a text that are counted at a time (fewer, so that a slice fits in an empty cache).
+CACHED, SLICE = 300_000, 100_000
 SHAPE = bytes(
     88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c for c in range(256)
 )
 REPEAT = zlib.crc32(b"=") % BUCKETS
+#: Repeat grams for each repeated word: about as many as a word has grams of its own, so that the mean shows them.
+SHOWN = 8
 
 
 def grams(word: bytes) -> list[int]:
@@ -47,21 +56,36 @@ def grams(word: bytes) -> list[int]:
     return [zlib.crc32(x) % BUCKETS for x in found]
 
 
+def slices(text: bytes):
+    """Words of a whole text a slice at a time, and the word before the slice (none before the first)."""
+    words = text.split()
+    for i in range(0, len(words), SLICE):
+        yield words[i : i + SLICE], words[i - 1 : i] if i else []
+
+
+def pairs(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Buckets of each two words in a row, and how many of them are one word twice."""
+    a, b = hashes[:-1], hashes[1:]
+    return (a * np.uint32(0x9E3779B1) + b) % np.uint32(BUCKETS), int(np.count_nonzero(a == b))
+
+
 def bag(text: bytes, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a whole text's grams, and how often each occurs."""
-    words = text.split()
-    parts = []
-    for w in words:
-        g = cache.get(w)
-        if g is None:
-            if len(cache) >= CACHED:
-                cache.clear()
-            g = cache[w] = np.array(grams(w), np.int32)
-        parts.append(g)
-    same = sum(a == b for a, b in zip(words[1:], words[:-1], strict=True))
-    # as many repeat grams for each repeated word as a word has grams of its own, so that the mean shows them
-    parts.append(np.full(same * 8, REPEAT, np.int32))
-    return np.unique(np.concatenate(parts), return_counts=True)
+    counts = np.zeros(BUCKETS, np.int64)
+    for words, before in slices(text):
+        parts = []
+        for w in words:
+            g = cache.get(w)
+            if g is None:
+                if len(cache) >= CACHED:
+                    cache.clear()
+                g = cache[w] = np.array(grams(w), np.int32)
+            parts.append(g)
+        two, same = pairs(np.array([zlib.crc32(w) for w in before + words], np.uint32))
+        counts += np.bincount(np.concatenate(parts), minlength=BUCKETS) + np.bincount(two, minlength=BUCKETS)
+        counts[REPEAT] += same * SHOWN
+    found = np.flatnonzero(counts)
+    return found, counts[found]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None, most: int = MOST, doc_id: str = "doc_id", text: str = "text", seed: int = 5) -> dict:
@@ -81,16 +105,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=No
                 names=["y", "weight", "luck", "grams", "counts"],
             )
 
-    rows = taken.mapInArrow(tidy(bags), "y int, weight double, luck long, grams binary, counts binary").orderBy("luck", "grams").collect()
-    y = np.array([r["y"] for r in rows])
-    if len(set(y.tolist())) < 2:
-        return {"weights": None, "share": float(y.mean()) if len(y) else 0.0}
-    weight = np.array([r["weight"] for r in rows])
-    weight = weight / weight.mean()
-    docs_ = []
-    for r in rows:
-        g, c = np.frombuffer(r["grams"], "<i4"), np.frombuffer(r["counts"], "<i4").astype(np.float64)
-        docs_.append((g, c / max(1.0, c.sum())))
+    rows = taken.mapInArrow(tidy(bags), "y int, weight double, luck long, grams binary, counts binary").orderBy("luck", "grams")
+    y, weight, docs_, held = [], [], [], 0
+    for r in rows.toLocalIterator():
+        held += 12 * len(r["grams"]) // 4
+        if docs_ and held > MOST_BYTES:
+            break
+        c = np.frombuffer(r["counts"], "<i4").astype(np.float64)
+        y.append(r["y"])
+        weight.append(r["weight"])
+        docs_.append((np.frombuffer(r["grams"], "<i4"), c / max(1.0, c.sum())))
+    if len(set(y)) < 2:
+        return {"weights": None, "share": float(np.mean(y)) if y else 0.0}
+    weight = np.array(weight) / np.mean(weight)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     out, bias = np.zeros((WIDTH, 2)), np.zeros(2)
@@ -111,41 +138,51 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=No
             step = out @ d
             out -= np.outer(h, d)
             bias -= d
-            # a sparse step for each gram, scaled up as the mean spreads the gradient over all of them
-            vectors[g] -= np.minimum(1.0, share * 200)[:, None] * step
+            vectors[g] -= np.outer(share / (share @ share), step)
     weights = vectors @ (out[:, 1] - out[:, 0])
     return {"weights": weights, "bias": float(bias[1] - bias[0])}
 
 
-def score_texts(texts: list[bytes], model: dict, cache: dict) -> np.ndarray:
+class Known:
+    """Words met so far by number, with their hash, the sum of their grams' weights, and the number of those."""
+
+    def __init__(self, model: dict):
+        self.weights, self.number = model["weights"], {}
+        self.hash, self.total, self.size = np.zeros(CACHED, np.uint32), np.zeros(CACHED), np.zeros(CACHED, np.int64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.number)
+        if len(self.number) + len(new) > CACHED:
+            self.number, new = {}, set(words)
+        for w in new:
+            i = self.number[w] = len(self.number)
+            g = grams(w)
+            self.hash[i], self.total[i], self.size[i] = zlib.crc32(w), self.weights[g].sum(), len(g)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+
+def score_texts(texts: list[bytes], model: dict, known: Known) -> np.ndarray:
     """Softmax of the averaged grams, class 1."""
     if model["weights"] is None:
         return np.full(len(texts), model["share"])
-    weights = model["weights"]
-    out = np.empty(len(texts))
-    repeat = float(weights[REPEAT])
+    weights, out = model["weights"], np.empty(len(texts))
     for i, t in enumerate(texts):
-        words = t.split()
         total, n = 0.0, 0
-        if words:
-            new = set(words).difference(cache)
-            if new:
-                if len(cache) + len(new) > CACHED:
-                    cache.clear()
-                    new = set(words)
-                for w in new:
-                    g = grams(w)
-                    cache[w] = complex(float(weights[g].sum()), len(g))
-            both = sum(map(cache.__getitem__, words))
-            same = 8 * sum(map(bytes.__eq__, words[1:], words))
-            total, n = both.real + same * repeat, both.imag + same
+        for words, before in slices(t):
+            at = known.numbers(words)
+            hashes = known.hash[at]
+            if before:
+                hashes = np.append(np.uint32(zlib.crc32(before[0])), hashes)
+            two, same = pairs(hashes)
+            total += float(known.total[at].sum() + weights[two].sum() + same * SHOWN * weights[REPEAT])
+            n += int(known.size[at].sum()) + len(two) + same * SHOWN
         out[i] = model["bias"] + (total / n if n else 0.0)
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None, most: int = MOST, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns ``carry`` (default: all) and the score as ``name``, 0 to 1."""
-    return scored(docs, train(docs, labels, label, allowed, most, doc_id, text), score_texts, lambda _: {}, text, name, carry)
+    return scored(docs, train(docs, labels, label, allowed, most, doc_id, text), score_texts, Known, text, name, carry)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
