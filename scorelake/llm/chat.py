@@ -174,3 +174,28 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+_ESCAPED = r"(length({0}) + length(regexp_replace({0}, '[^\\]', '', 'g')) + len(regexp_extract_all({0}, '<\||</s>|<s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]')))"
+#: A window's characters are those of its turns, of the turns it repeats, and of the system turn where that isn't among its own.
+OP6_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), m AS (
+  SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\t-\r ]')) AS tokens,
+    {len(TURN) + len(END) + 2} + {_ESCAPED.format("role")} + length(regexp_replace(role, '[^\n]', '', 'g')) + {_ESCAPED.format("text")} AS chars
+  FROM t
+), b AS (
+  SELECT *, row_number() OVER w AS ord, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), n AS (
+  SELECT *, CAST(before // {BUDGET} AS BIGINT) AS win, ord = 1 AND role = 'system' AS opens FROM b
+), r AS (
+  SELECT *, before >= min(before) OVER (PARTITION BY conv_id ORDER BY win RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) - {HISTORY} AND NOT opens AS again FROM n
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY ord) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) + coalesce(sum(chars) FILTER (again), 0) + coalesce(sum(chars) FILTER (opens), 0) * (count(DISTINCT win) - 1) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id"""

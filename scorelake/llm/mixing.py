@@ -203,3 +203,25 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents, weights 3, 1, 2 over the sources in turn, 150 % of all words."""
     done = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """What each document of op2's mix measures, and its source's target: the part that SQL can express."""
+    each = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return each.join(targets(each), "src").select("doc_id", "size", "source_size", "target")
+
+
+#: Shares by weight, gives what is above a cap to the others, and so on until none is above.
+MIX_TARGETS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS top, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)
+), lv(i, level) AS (
+  SELECT 0, sum(source_size) * 1.5::DOUBLE / sum(w) FROM s
+  UNION ALL
+  SELECT i + 1, (sum(source_size) * 1.5::DOUBLE - coalesce(sum(top) FILTER (top < w * level), 0)) / nullif(sum(w) FILTER (top >= w * level), 0)
+  FROM lv, s WHERE i < (SELECT count(*) FROM s) AND level IS NOT NULL GROUP BY i, level
+), final AS (SELECT level FROM lv ORDER BY i DESC LIMIT 1)
+SELECT doc_id, size, source_size, least(top, coalesce(w * level, top)) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, final"""

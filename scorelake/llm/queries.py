@@ -14,9 +14,12 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
     "secret_base": secrets.secret_base,
+    "mix_targets": mixing.mix_targets,
 }
 SQL = {
+    "mix_targets": mixing.MIX_TARGETS_SQL,
     "op3_ngram_join": ngram_join.OP3_SQL,
+    "op6_chat_format": chat.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "secret_base": secrets.SECRET_BASE_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
