@@ -26,7 +26,7 @@ def sha(text):
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_matches_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, data), con.sql(queries.SQL[name])
     columns = sorted(got.columns)
