@@ -231,13 +231,38 @@ x AS (SELECT l_orderkey, 'system' AS kind, sys AS global_id, string_agg({_measur
 SELECT l_orderkey, kind, CAST(global_id AS INT) AS global_id, {_score_sql('body', midi='      <midi-device />\n')} AS xml FROM x"""
 
 
+_COMMENT = "% automatically converted by musicxml2ly "
+
+
 def line_fold_header(spark, sf_dir):
-    """Documents as engraving text: commas open and full stops close braces, lines that start with E start headers."""
-    text = F.regexp_replace(F.translate("text", ",.", "{}"), "(?m)^E", r"\\\\header E")
+    """Documents as engraving text: commas open and full stops close braces; first letters make header, comment and definition lines."""
+    marks = {"E": r"\header ", "A": _COMMENT, "S": "voice ="}
+
+    def line(x):
+        made = F.when(F.lit(False), x)
+        for letter, mark in marks.items():
+            made = made.when(x.startswith(letter), F.concat(F.lit(mark), x))
+        return made.otherwise(x)
+
+    text = F.array_join(F.transform(F.split(F.translate("text", ",.", "{}"), "\n"), line), "\n")
     d = _docs(spark, sf_dir).select("doc_id", engraving.split_preamble(text).alias("s"))
     return d.select("doc_id", F.sha2("s.preamble", 256).alias("preamble_sha256"), F.length("s.preamble").alias("n_preamble"), F.length("s.rest").alias("n_rest"))
 
 
+LINE_FOLD = f"""WITH RECURSIVE a AS (SELECT doc_id, string_split(translate(coalesce(text, ''), ',.', '{{}}'), chr(10)) AS raw FROM documents),
+m AS (SELECT doc_id, list_transform(raw, lambda x: CASE x[1] WHEN 'E' THEN '\\header ' WHEN 'A' THEN '{_COMMENT}' WHEN 'S' THEN 'voice =' ELSE '' END || x) AS ls FROM a),
+p AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(x, '^\\w+ =')), true) AS first FROM m),
+l AS MATERIALIZED (SELECT doc_id, i, x AS line, starts_with(x, '{_COMMENT}') AS comment, regexp_matches(x, '\\\\header\\b') AS header,
+  length(replace(x, '}}', '')) - length(replace(x, '{{', '')) AS net
+  FROM (SELECT doc_id, first, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM p) WHERE first IS NULL OR first = 0 OR i < first),
+r(doc_id, i, depth, kept) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM p UNION ALL
+  SELECT l.doc_id, l.i, CASE WHEN comment THEN depth WHEN depth > 0 OR header THEN greatest(0, depth + net) ELSE 0 END, NOT (comment OR header OR depth > 0)
+  FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+k AS (SELECT doc_id, rtrim(string_agg(line, chr(10) ORDER BY i), chr(10)) AS preamble FROM r JOIN l USING (doc_id, i) WHERE kept GROUP BY doc_id)
+SELECT doc_id, sha256(coalesce(preamble, '')) AS preamble_sha256, CAST(length(coalesce(preamble, '')) AS INT) AS n_preamble,
+  CAST(CASE WHEN first > 0 THEN length(array_to_string(ls[first:], chr(10))) ELSE 0 END AS INT) AS n_rest FROM p LEFT JOIN k USING (doc_id)"""
+
+
 def fingerprint(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.fingerprint(F.col("text")).alias("checksum"))
 
@@ -332,7 +357,7 @@ QUERIES = {
     "score_header": (score_header, SCORE_HEADER),
     "score_clean": (score_clean, SCORE_CLEAN),
     "score_snippets": (score_snippets, SNIPPETS),
-    "line_fold_header": (line_fold_header, None),
+    "line_fold_header": (line_fold_header, LINE_FOLD),
     "fingerprint": (fingerprint, FINGERPRINT),
     "stale_decision": (stale_decision, STALE),
     "stage_invalidation": (stage_invalidation, INVALIDATION),
