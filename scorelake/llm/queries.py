@@ -1,6 +1,6 @@
 """The corpus queries, their SQL where it can express them, by name."""
 
-from scorelake.llm import ann, chat, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, secrets, toxicity
+from scorelake.llm import ann, chat, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, runs, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_periodic_runs": runs.op11_periodic_runs,
     "secret_base": secrets.secret_base,
     "mix_targets": mixing.mix_targets,
 }
