@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.sources.tables import materialize
@@ -39,6 +40,20 @@ def tidy(task):
     return run
 
 
+class Shared:
+    """A value that tasks read, broadcast as bytes with its classes, so that workers need no path to this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self):
+        """The value: once a task."""
+        return cloudpickle.loads(self._bytes.value)
+
+    def unpersist(self):
+        self._bytes.unpersist()
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import keep, text_of, tidy
+from scorelake.llm.common import Shared, keep, text_of, tidy
 
 WINDOW = 10
 SAMPLE = 16
@@ -258,7 +258,7 @@ def annotate(
             source = keep(_pass(source, held, text, source.columns, names, before, False))
             held.unpersist()
             before = names
-        held = docs.sparkSession.sparkContext.broadcast(Block(items))
+        held = Shared(docs.sparkSession, Block(items))
         before = before or ()
     return _pass(source, held, text, carry, names, before, remove)
 
@@ -308,7 +308,7 @@ def _pass(docs: DataFrame, held, text: str, carry: list[str], names: tuple[str,
             at += n
 
     def task(batches):
-        block: Block = held.value
+        block: Block = held.load()
         waiting, words, size = [], [], 0
         for whole in batches:
             for first in range(0, whole.num_rows, 500):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import keep, text_of, tidy
+from scorelake.llm.common import Shared, keep, text_of, tidy
 
 
 def remainder(doc_id: str | Column, folds: int) -> Column:
@@ -60,17 +60,18 @@ def scored(
     ``cache(model)`` makes what a task keeps between its batches.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != name.lower()]
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Shared(docs.sparkSession, model)
     place, columns = docs.columns.index(text), [docs.columns.index(c) for c in carry]
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(name, T.DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]):
-        own = cache(held.value)
+        loaded = held.load()
+        own = cache(loaded)
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
                 batch = whole.slice(first, 1000)
                 texts = [x or b"" for x in batch.column(place).cast(pa.binary()).to_pylist()]
-                value = pa.array(np.asarray(score(texts, held.value, own), np.float64))
+                value = pa.array(np.asarray(score(texts, loaded, own), np.float64))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), value], names=schema.names)
 
     return docs.mapInArrow(tidy(task), schema)

@@ -36,6 +36,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -64,69 +65,75 @@ FIRST = 3
 ROUNDS = ((1, None), (None, 8), (None, 512), (None, None))
 #: Shingles of a class that travel along, so that a pair is reported under the least of those it shares; classes with more report again.
 LISTED = 24
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Words whose hashes a task remembers, and their bytes.
+CACHED, CACHED_BYTES = 1 << 17, 16 << 20
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64 bits, each of which depends on all of them."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
 
 class Shingler:
     """Shingle hashes of UTF-8 texts, many texts at a time.
 
-    A shingle's hash is a polynomial over its bytes, its words parted by single
-    spaces: differences of running sums, shifted to a common start.
+    A word's hash is a digest of its bytes, a shingle's 128 bits are mixed from its
+    words' one after the other. Sets are compared by the first 64 bits and named by all.
     """
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.up = self.down = np.zeros(0, np.uint64)
+        self._forget()
+
+    def _forget(self):
+        self.number: dict[bytes, int] = {}
+        self.table, self.held = np.zeros((0, 2), np.uint64), 0
 
     def sets(self, texts: list[bytes]):
-        """The sorted distinct hashes of each text, in order."""
-        held: list[bytes] = []
+        """The sorted distinct hashes of each text and 128 bits that name the set, in order."""
+        held: list[list[bytes]] = []
         size = 0
         for t in texts:
-            held.append(b" ".join(t.translate(LOWER).split()))
-            size += len(held[-1])
+            held.append(t.translate(LOWER).split())
+            size += len(t)
             if size >= CHUNK:
                 yield from self._hash(held)
                 held, size = [], 0
         yield from self._hash(held)
 
-    def _hash(self, texts: list[bytes]):
-        full = [t for t in texts if t]
-        if full:
-            joined = b"\n".join(full) + b"\n"
-            n = len(joined)
-            if len(self.up) <= n:
-                self.up, self.down = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
-            b = np.frombuffer(joined, np.uint8)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
-            ends = np.flatnonzero((b == 32) | (b == 10))
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            last = np.flatnonzero(b[ends] == 10)  # index of each text's last word
-            first = np.concatenate(([0], last[:-1] + 1))
-        k = 0
+    def _of_words(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.number)
+        if len(self.number) + len(new) > CACHED or self.held > CACHED_BYTES:
+            self._forget()
+            new = set(words)
+        self.held += sum(map(len, new))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        found = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in new)
+        self.table = np.concatenate([self.table, np.frombuffer(found, np.uint64).reshape(-1, 2)])
+        return self.table[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))]
+
+    def _joined(self, w: np.ndarray, words: int) -> np.ndarray:
+        n = len(w) - words + 1
+        h = w[:n]
+        for k in range(1, words):
+            h = mixed(h + np.uint64(k)) ^ w[k : k + n]
+        return mixed(h + np.uint64(words))
+
+    def _hash(self, texts: list[list[bytes]]):
+        w = self._of_words([x for t in texts for x in t])
+        full = self._joined(w, self.words) if len(w) >= self.words else w[:0]
+        at = 0
         for t in texts:
             if not t:
-                yield np.zeros(0, np.uint64)
+                yield np.zeros(0, np.uint64), b""
                 continue
-            a, z = int(first[k]), int(last[k])
-            k += 1
-            s = starts[a : max(a, z - self.words + 1) + 1]
-            e = ends[min(z, a + self.words - 1) : z + 1]
-            h = (sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            yield np.unique(h)
+            h = full[at : at + len(t) - self.words + 1] if len(t) >= self.words else self._joined(w[at : at + len(t)], len(t))
+            at += len(t)
+            h = h[np.argsort(h[:, 0], kind="stable")]
+            h = h[np.concatenate(([True], h[1:, 0] != h[:-1, 0]))]
+            yield np.ascontiguousarray(h[:, 0]), hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -144,19 +151,51 @@ def folded(b: np.ndarray, size: int) -> np.ndarray:
     return b
 
 
-def compatible(a, b):
+class Bitmaps:
+    """Signatures of sets: bitmaps whose differing bits bound an overlap from above."""
+
+    percent = PERCENT
+
+    def sign(self, s: np.ndarray) -> bytes:
+        return bitmap(s).tobytes()
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """What is counted to tell which tokens are common."""
+        return s
+
+    def stack(self, raw: list[np.ndarray]) -> np.ndarray:
+        """Signatures as rows that can be compared, all of the first one's size."""
+        size = len(raw[0])
+        signs = np.stack([folded(x, size) for x in raw])
+        return signs.view(np.uint64) if size % 8 == 0 else signs
+
+    def compare(self, signs: np.ndarray, i: int, j: np.ndarray, n: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether row i (a set of size n) may link with the rows j (sizes m), and how far they are."""
+        differing = np.bitwise_count(signs[j] ^ signs[i]).sum(axis=1).astype(np.int64)
+        return may_link(differing, n, m), differing
+
+    def bound(self, x: bytes, ys: list[bytes]) -> list[bool]:
+        """The same for signatures after their sets' sizes in eight bytes."""
+        m, x, out = int.from_bytes(x[:8], "big"), np.frombuffer(x, np.uint8)[8:], []
+        for y in ys:
+            n, y = int.from_bytes(y[:8], "big"), np.frombuffer(y, np.uint8)[8:]
+            size = min(len(x), len(y))
+            out.append(bool(may_link(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()), m, n)))
+        return out
+
+
+def compatible(a, b, percent: int = PERCENT):
     """Whether sets of sizes a and b may link at all."""
     small, large = F.least(a, b), F.greatest(a, b)
-    return small * 100 >= large * PERCENT
+    return small * 100 >= large * percent
 
 
 def _binary(batch: pa.RecordBatch, i: int) -> list[bytes]:
     return [x or b"" for x in batch.column(i).cast(pa.binary()).to_pylist()]
 
 
-def digests(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set: its class, and what tells sets of one class apart."""
-    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def digests(d: bytes) -> tuple[int, int]:
+    """The two halves of a set's name: its class, and what tells sets of one class apart."""
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
@@ -166,8 +205,8 @@ class Namer:
     def __init__(self, renamed: dict[tuple[int, int], int]):
         self.renamed = renamed
 
-    def __call__(self, s: np.ndarray) -> int:
-        d = digests(s)
+    def __call__(self, name: bytes) -> int:
+        d = digests(name)
         return self.renamed.get(d, d[0]) if self.renamed else d[0]
 
 
@@ -210,8 +249,8 @@ class Repeats:
         return self.token[ok], self.n[ok]
 
 
-def profiles(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``doc_id n class check bits`` for each row, and the common shingles ``token n``, from one scan (kept)."""
+def profiles(docs: DataFrame, doc_id: str, text: str, how: Bitmaps) -> tuple[DataFrame, DataFrame]:
+    """``doc_id n class check bits`` for each row, and the common tokens ``token n``, from one scan (kept)."""
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["doc_id", "n", "class", "check", "bits", "tokens", "counts"]
     schema = f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, n long, class long, check long, bits binary, tokens array<long>, counts array<long>"
@@ -223,13 +262,13 @@ def profiles(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
                 batch = whole_.slice(at, 1000)
                 size, out_type = batch.num_rows, batch.schema.field(0).type
                 n, cl, check, bits = [], [], [], []
-                for s in shingler.sets(_binary(batch, 1)):
-                    d = digests(s) if len(s) else (0, 0)
+                for s, name in shingler.sets(_binary(batch, 1)):
+                    d = digests(name) if len(s) else (0, 0)
                     n.append(len(s)), cl.append(d[0]), check.append(d[1])
                     if len(s) and d not in seen:
                         seen.add(d)
-                        bits.append(bitmap(s).tobytes())
-                        repeats.add(s)
+                        bits.append(how.sign(s))
+                        repeats.add(how.keys(s))
                     else:
                         bits.append(None)
                 yield pa.RecordBatch.from_arrays(
@@ -264,8 +303,8 @@ def prefixes(docs: DataFrame, text: str, common: list[int], renamed: dict) -> Da
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 tokens, often, cl, size = [], [], [], []
-                for s in shingler.sets(_binary(whole.slice(at, 1000), 0)):
-                    if not len(s) or (c := name(s)) in seen:
+                for s, d in shingler.sets(_binary(whole.slice(at, 1000), 0)):
+                    if not len(s) or (c := name(d)) in seen:
                         continue
                     seen.add(c)
                     n = len(s)
@@ -330,18 +369,18 @@ def compared(pairs: DataFrame, values: DataFrame, decide) -> DataFrame:
     return dealt.mapInArrow(tidy(task), "a long, b long")
 
 
-def _intersect(x: bytes, ys: list[bytes]) -> list[bool]:
+def _intersect(x: bytes, ys: list[bytes], percent: int = PERCENT) -> list[bool]:
     """Whether sorted arrays link, by their intersection."""
     x, out = np.frombuffer(x, np.uint64), []
     for y in ys:
         y = np.frombuffer(y, np.uint64)
         small, large = (x, y) if len(x) < len(y) else (y, x)
         common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-        out.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+        out.append(100 * common >= percent * (len(x) + len(y) - common))
     return out
 
 
-def exact(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, renamed: dict) -> DataFrame:
+def exact(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, renamed: dict, percent: int = PERCENT) -> DataFrame:
     """Of ``a b`` those that link, by the sorted arrays of their shingles."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = keep(classes.join(wanted, "class", "left_semi").select("class", F.col("rep").alias("_rep")))
@@ -352,29 +391,19 @@ def exact(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: Da
         shingler, name, seen = Shingler(), Namer(renamed), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                found = {c: s for s in shingler.sets(_binary(whole.slice(at, 500), 0)) if (c := name(s)) not in seen}
+                found = {c: s for s, d in shingler.sets(_binary(whole.slice(at, 500), 0)) if len(s) and (c := name(d)) not in seen}
                 seen.update(found)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["class", "value"])
 
     # a repeated id brings texts of other classes along, a repeated row its class twice
     sets = keep(texts.mapInArrow(tidy(task), "class long, value binary").join(chosen.select("class"), "class", "left_semi"))
-    return compared(pairs, sets, _intersect).distinct()
+    return compared(pairs, sets, partial(_intersect, percent=percent)).distinct()
 
 
-def _bound(x: bytes, ys: list[bytes]) -> list[bool]:
-    """Whether bitmaps, each after its set's size in eight bytes, allow to link."""
-    m, x, out = int.from_bytes(x[:8], "big"), np.frombuffer(x, np.uint8)[8:], []
-    for y in ys:
-        n, y = int.from_bytes(y[:8], "big"), np.frombuffer(y, np.uint8)[8:]
-        size = min(len(x), len(y))
-        out.append(bool(may_link(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()), m, n)))
-    return out
-
-
-def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of ``a b`` those that their bitmaps allow to link."""
+def bounded(pairs: DataFrame, classes: DataFrame, how: Bitmaps) -> DataFrame:
+    """Of ``a b`` those that their signatures allow to link."""
     size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
-    return compared(pairs, classes.select("class", F.concat(size, F.col("bits")).alias("value")), _bound)
+    return compared(pairs, classes.select("class", F.concat(size, F.col("bits")).alias("value")), how.bound)
 
 
 def may_link(differing, m, n):
@@ -450,7 +479,7 @@ def earlier(lists: list) -> np.ndarray | None:
     return out
 
 
-def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], lists: list, near: int | None, most: int | None):
+def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], lists: list, near: int | None, most: int | None, how: Bitmaps):
     """Pairs (i, j) of one tile that may link and stand in two components; whether any were held back.
 
     side: rows of side 0 and 1 meet those of the other only, rows of side 2 all.
@@ -465,24 +494,22 @@ def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[byt
     found: list[tuple] = []
     a = 0
     while a < len(order) - 1:
-        # a band: the rows of one bitmap size, against all up to the largest that may link
+        # a band: the rows of one signature size, against all up to the largest that may link
         size = len(raw[a])
         z = a
         while z < len(order) and len(raw[z]) == size:
             z += 1
-        end = int(np.searchsorted(n_, n_[z - 1] * 100 // PERCENT, "right"))
-        signs = np.stack([folded(x, size) for x in raw[a:end]])
-        words = signs.view(np.uint64) if size % 8 == 0 else signs
+        end = int(np.searchsorted(n_, n_[z - 1] * 100 // how.percent, "right"))
+        signs = how.stack(raw[a:end])
         for i in range(a, z):
-            stop = int(np.searchsorted(n_, n_[i] * 100 // PERCENT, "right"))
+            stop = int(np.searchsorted(n_, n_[i] * 100 // how.percent, "right"))
             if stop <= i + 1:
                 continue
             j = np.arange(i + 1, stop)
             j = j[(comp_[j] != comp_[i]) & ((side_[j] != side_[i]) | (side_[i] == 2))]
             if not len(j):
                 continue
-            differing = np.bitwise_count(words[j - a] ^ words[i - a]).sum(axis=1).astype(np.int64)
-            ok = may_link(differing, n_[i], n_[j])
+            ok, differing = how.compare(signs, i - a, j - a, n_[i], n_[j])
             if before is not None and ok.any():
                 ok[ok] = ~(before[j[ok]] & before[i]).any(axis=1)
             if ok.any():
@@ -503,7 +530,7 @@ def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[byt
     return order[i[kept]], order[j[kept]], not kept.all()
 
 
-def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, near: int | None, most: int | None) -> DataFrame:
+def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, near: int | None, most: int | None, how: Bitmaps) -> DataFrame:
     """``a b``: pairs of classes in two components that tiles let pass; b is null where the tiles of shingle a held some back."""
     rows = shared.join(comps, "class", "left").select("token", "class", "n", F.coalesce("root", "class").alias("comp"))
     by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -546,7 +573,7 @@ def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, near: int | N
         cl, comp = t.column("class").to_numpy(), t.column("comp").to_numpy()
         if len(cl) < 2 or (comp == comp[0]).all():
             return None
-        i, j, held = tile_pairs(t.column("n").to_numpy(), comp, t.column("side").to_numpy(), t.column("bits").to_pylist(), t.column("before").to_pylist(), near, most)
+        i, j, held = tile_pairs(t.column("n").to_numpy(), comp, t.column("side").to_numpy(), t.column("bits").to_pylist(), t.column("before").to_pylist(), near, most, how)
         if not len(i):
             return None
         a, b = pa.array(np.minimum(cl[i], cl[j])), pa.array(np.maximum(cl[i], cl[j]))
@@ -601,37 +628,48 @@ def shared_shingles(each: DataFrame) -> DataFrame:
     return keep(rows.select("token", "class", "n", "lo", "hi").join(lead.select("token"), "token", "left_semi"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id n_shingles class component_id`` for each row."""
-    rows, counted = profiles(docs, doc_id, text)
+def named(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """The rows of :func:`profiles` with their final classes, the classes ``class rep n bits`` (kept), and what was renamed."""
     renamed = clashes(rows)
     if renamed:
         names = F.create_map(*(F.lit(x) for (c, k), to in renamed.items() for x in (f"{c} {k}", to)))
         rows = rows.withColumn("class", F.coalesce(F.try_element_at(names, F.concat_ws(" ", "class", "check")), "class"))
-    full = rows.where("n > 0")
-    classes = keep(
-        full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
-    )
-    # at most COMMON_SHARE times the mean size of a set
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
+    return rows, keep(classes), renamed
+
+
+def common_tokens(counted: DataFrame, classes: DataFrame) -> list[int]:
+    """Tokens of very many classes: at most ``COMMON_SHARE`` times the mean number that a class has."""
     often = counted.where(F.col("n") >= F.lit(max(LOCAL_COMMON, classes.count() // COMMON_SHARE)))
-    common = [r["token"] for r in often.select("token").collect()]
+    return [r["token"] for r in often.select("token").collect()]
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id n_shingles class component_id`` for each row."""
+    how = Bitmaps()
+    rows, counted = profiles(docs, doc_id, text, how)
+    rows, classes, renamed = named(rows)
+    shared = shared_shingles(prefixes(docs, text, common_tokens(counted, classes), renamed))
+    return grouped(docs, doc_id, text, rows, classes, shared, renamed, how)
+
 
-    shared = shared_shingles(prefixes(docs, text, common, renamed))
+def grouped(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, classes: DataFrame, shared: DataFrame, renamed: dict, how: Bitmaps) -> DataFrame:
+    """The result of a join: components of the classes that ``shared`` tokens bring together and whose sets link."""
     led = shared.select("class", F.explode(F.array("lo", "hi")).alias("l")).where(F.col("class") != F.col("l"))
     led = led.select(F.least("class", "l").alias("a"), F.greatest("class", "l").alias("b")).distinct()
     sizes = classes.select("class", "n")
     for end in ("a", "b"):
         led = led.join(sizes.select(F.col("class").alias(end), F.col("n").alias(f"n{end}")), end)
     shared = shared.select("token", "class", "n")
-    tested = keep(bounded(led.where(compatible(F.col("na"), F.col("nb"))).select("a", "b"), classes))
-    comps = keep(components(keep(exact(tested, docs, doc_id, text, classes, renamed))))
+    tested = keep(bounded(led.where(compatible(F.col("na"), F.col("nb"), how.percent)).select("a", "b"), classes, how))
+    comps = keep(components(keep(exact(tested, docs, doc_id, text, classes, renamed, how.percent))))
     first = shared.groupBy("class", "n").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("ts"))
     searched = first.select(F.explode("ts").alias("token"), "class", "n")
     for k, (near, most) in enumerate(ROUNDS):
-        passed = keep(tiles(searched, comps, classes, near, most))
+        passed = keep(tiles(searched, comps, classes, near, most, how))
         new = keep(passed.where("b IS NOT NULL").join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            more = keep(exact(new, docs, doc_id, text, classes, renamed))
+            more = keep(exact(new, docs, doc_id, text, classes, renamed, how.percent))
             tested = tested.unionByName(new)
             if not more.isEmpty():
                 comps = keep(merged(comps, more))
@@ -646,18 +684,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     of_class = classes.join(comps, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     roots = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(roots, "root").select("class", "component_id")
-    named = full.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", "component_id")
+    full = rows.where("n > 0").join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", "component_id")
     bare = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "class", F.col("doc_id").alias("component_id"))
-    return named.unionByName(bare)
+    return full.unionByName(bare)
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", joined=join) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least id (rows without shingles all stay)."""
     own_id, key = fresh(docs, "_id", "_key")
     named = [c.alias(n) for c, n in zip(row_key(doc_id, text), (own_id, key), strict=True)]
     keyed = docs.select("*", *named)
     # the join reads rows under their keys, so that rows with one id but two texts stay apart
-    found = keep(join(docs.select(F.struct(*(c.alias(n) for c, n in zip(row_key(doc_id, text), ("_id", "_key"), strict=True))).alias("_row"), F.col(text).alias("_text")), "_row", "_text"))
+    found = keep(joined(docs.select(F.struct(*(c.alias(n) for c, n in zip(row_key(doc_id, text), ("_id", "_key"), strict=True))).alias("_row"), F.col(text).alias("_text")), "_row", "_text"))
     gone = found.where("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id._id").alias(own_id), F.col("doc_id._key").alias(key)).distinct()
     gone = sized_broadcast(keep(gone))
     stay = keyed.join(gone, (keyed[key] == gone[key]) & keyed[own_id].eqNullSafe(gone[own_id]), "left_anti")

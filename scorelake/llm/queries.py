@@ -1,6 +1,6 @@
 """The corpus queries, their SQL where it can express them, by name."""
 
-from scorelake.llm import ann, chat, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, runs, secrets, toxicity
+from scorelake.llm import ann, chat, decontaminate, divergence, html_text, hyperminhash, line_dedup, mixing, ngram_join, quality, runs, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_minhash_dedup": hyperminhash.op13_minhash_dedup,
     "secret_base": secrets.secret_base,
     "mix_targets": mixing.mix_targets,
 }
@@ -24,4 +26,6 @@ SQL = {
     "op7_decontaminate": decontaminate.OP7_SQL,
     "secret_base": secrets.SECRET_BASE_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_minhash_dedup": hyperminhash.OP13_SQL,
 }
