@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Sizes that results depend on.
 POINTS_PER_INCH = 72
 #: A page image has this many pixels at most: a margin under the recogniser's limit.
 MOST_PIXELS = 20_000_000 * 0.85

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.operators import graph
+
 # The stages in the order in which they run, with those that they read.
 STAGES = {
     "original": [],
@@ -68,11 +70,27 @@ def affected(stale: DataFrame, keys: list[str], stages: dict[str, list[str]] = S
     The stage graph is a constant of the program, so it is broadcast.
     """
     order = {s: i for i, s in enumerate(stages)}
-    graph = stale.sparkSession.createDataFrame([(a, b, order[a]) for a, b in downstream(stages)], "cause string, stage string, at int")
-    hit = stale.select(*keys, F.col("stage").alias("cause")).join(F.broadcast(graph), "cause")
+    pairs = stale.sparkSession.createDataFrame([(a, b, order[a]) for a, b in downstream(stages)], "cause string, stage string, at int")
+    hit = stale.select(*keys, F.col("stage").alias("cause")).join(F.broadcast(pairs), "cause")
     return hit.groupBy(*keys, "stage").agg(F.min_by("cause", "at").alias("because"))
 
 
+def invalidated(stale: DataFrame, dependencies: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys stage because distance in_cycle``: every stage that runs again if those of ``stale`` (keys, stage) do.
+
+    Each bundle has its own graph: ``dependencies`` holds keys, stage, dep, of any depth. The nearest
+    cause is told, of equally near ones the least. ``in_cycle``: the stage comes back to itself, so
+    no order of its graph is one in which it could run.
+    """
+    edges = dependencies.select(*keys, F.col("dep").alias("up"), F.col("stage").alias("down"))
+    found = graph.reached(edges, keys, stale.select(*keys, F.col("stage").alias("node")))
+    hit = found.groupBy(*keys, F.col("to").alias("stage")).agg(F.min(F.struct("n", "node")).alias("c"))
+    affected = hit.select(*keys, "stage", F.col("c.node").alias("because"), F.col("c.n").alias("distance"))
+    around = graph.cycles(graph.reached(edges, keys, affected.select(*keys, F.col("stage").alias("node"))), edges, keys)
+    looped = around.select(*keys, F.col("node").alias("stage"), F.lit(True).alias("in_cycle"))
+    return affected.join(looped, [*keys, "stage"], "left").fillna({"in_cycle": False})
+
+
 def incomplete(recorded: DataFrame, dependencies: DataFrame, keys: list[str]) -> DataFrame:
     """The dependencies ``keys stage dep`` whose stage has no recorded outputs."""
     done = recorded.where(F.size("outputs") > 0).select(*keys, F.col("stage").alias("dep"))

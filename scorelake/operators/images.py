@@ -387,13 +387,3 @@ def tight(pages: DataFrame, share: float = 0.01) -> DataFrame:
         }
     )
     return cropped(boxed, "_l", "_u", "_r", "_d").select(*pages.columns)
-
-
-def crops(pages: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """A cut-out for each of a page's boxes: ``boxes`` has ``keys``, a name, and ``rect`` (left, top, right, bottom).
-
-    A page's boxes are gathered first, so its pixels are joined once.
-    """
-    of_page = boxes.groupBy(*keys).agg(F.collect_list(F.struct("name", "rect")).alias("_b"))
-    each = pages.join(of_page, keys).select(*pages.columns, F.explode("_b").alias("b")).select(*pages.columns, "b.name", "b.rect.*")
-    return cropped(each, "left", "top", "right", "bottom").drop("left", "top", "right", "bottom")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.geometry import crop_rect, measure_box, padding
-from scorelake.operators import images, layout
+from scorelake.operators import cutouts, layout
 from scorelake.sources.archives import members
 from scorelake.sources.tables import materialize
 from scorelake.sources.xml_nodes import parent, path, xml_nodes
@@ -127,6 +127,6 @@ def boxes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "sheet", F.col("b.name").alias("name"), crop_rect(F.col("b.bounds"), F.col("width"), F.col("height")).alias("rect"))
 
 
-def cut_pages(pages: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys sheet name width height gray``: the cut-outs of all pages (``keys sheet width height gray``)."""
-    return images.crops(pages, boxes(rows, keys), [*keys, "sheet"]).select(*keys, "sheet", "name", "width", "height", "gray")
+def cut_pages(pages: DataFrame, rows: DataFrame, keys: list[str], as_png: bool = False) -> DataFrame:
+    """``keys sheet name width height gray`` (``as_png``: ``data``): the cut-outs of all pages (``keys sheet width height gray``)."""
+    return cutouts.crops(pages, boxes(rows, keys), [*keys, "sheet"], as_png)

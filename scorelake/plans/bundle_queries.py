@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorelake.operators import artifacts, bundles
@@ -106,7 +107,27 @@ def page_selection(spark, sf_dir):
 SELECTION = """SELECT l_orderkey, l_linenumber, n >= 4 AS in_range FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
 WHERE l_linenumber BETWEEN 2 AND 4 AND l_returnflag <> 'R'"""
 
+def dependency_closure(spark, sf_dir):
+    """A customer's orders are stages: each leads to the two of twice its number, every third to the next, and in every tenth bundle the last to the first."""
+    o = _orders(spark, sf_dir)
+    place = Window.partitionBy("bundle").orderBy("o_orderdate", "k")
+    o = o.select("bundle", "k", F.row_number().over(place).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("bundle")).cast("int").alias("n"))
+    i, n = F.col("i"), F.col("n")
+    to = F.array(2 * i, 2 * i + 1, F.when(F.col("k") % 3 == 0, i + 1), F.when((F.col("bundle") % 10 == 0) & (i == n), F.lit(1)))
+    edges = o.select("bundle", F.col("k").alias("dep"), F.explode(to).alias("j")).join(o.select("bundle", F.col("i").alias("j"), F.col("k").alias("stage")), ["bundle", "j"])
+    return artifacts.invalidated(o.where("k % 7 = 0").select("bundle", F.col("k").alias("stage")), edges.select("bundle", "stage", "dep"), ["bundle"])
+
+
+CLOSURE = """WITH RECURSIVE o AS (SELECT o_custkey AS bundle, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+j AS (SELECT bundle, k, unnest([2 * i, 2 * i + 1, CASE WHEN k % 3 = 0 THEN i + 1 END, CASE WHEN bundle % 10 = 0 AND i = n THEN 1 END]) AS j FROM o),
+e AS (SELECT DISTINCT j.bundle, j.k AS up, o.k AS down FROM j JOIN o ON o.bundle = j.bundle AND o.i = j.j),
+r(bundle, start, stage, n) AS (SELECT bundle, k, k, 0 FROM o WHERE k % 7 = 0 UNION SELECT r.bundle, start, down, r.n + 1 FROM r JOIN e ON e.bundle = r.bundle AND e.up = r.stage WHERE r.n < 25),
+c(bundle, start, stage) AS (SELECT bundle, up, down FROM e UNION SELECT c.bundle, start, down FROM c JOIN e ON e.bundle = c.bundle AND e.up = c.stage),
+l AS (SELECT DISTINCT bundle, start AS stage FROM c WHERE start = stage)
+SELECT bundle, stage, arg_min(start, (n, start)) AS because, CAST(min(n) AS INT) AS distance, bool_or(l.stage IS NOT NULL) AS in_cycle FROM r LEFT JOIN l USING (bundle, stage) GROUP BY ALL"""
+
 QUERIES = {
+    "dependency_closure": (dependency_closure, CLOSURE),
     "source_choice": (source_choice, CHOICE),
     "forced_stage": (forced_stage, FORCED),
     "incomplete_stages": (incomplete_stages, INCOMPLETE),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorelake.operators import pdf_pages
+from scorelake.functions.geometry import crop_rect
+from scorelake.operators import cutouts, pdf_pages, regions
 from scorelake.sources.pdf_objects import pdf_nodes
 from scorelake.sources.tables import materialize
 
@@ -66,6 +67,66 @@ c AS (SELECT file, page, coalesce(has <> 'none', false) AS has_resources, CAST(C
 v AS (SELECT file, bool_or(n_images = 0) AS is_vector FROM c GROUP BY 1)
 SELECT file, coalesce(is_vector, false) AS is_vector, CASE WHEN file % 11 = 0 THEN 'no catalogue' END AS error, page, has_resources, n_objects, n_images FROM f LEFT JOIN v USING (file) LEFT JOIN c USING (file)"""
 
+#: Pixels in a row of a document's page, and the boxes of each line's first words.
+PAGE_WIDTH = 80
+
+
+def _typed_pages(spark, sf_dir):
+    """Documents as pages of 80 columns, a byte for a character, what isn't printable ASCII a question mark: ``doc_id width height gray text``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?").alias("text"))
+    height = F.ceil(F.length("text") / PAGE_WIDTH).cast("int")
+    whole = F.rpad("text", height * PAGE_WIDTH, F.lit(" ")).cast("binary")
+    return docs.select("doc_id", F.lit(PAGE_WIDTH).alias("width"), height.alias("height"), whole.alias("gray"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def page_cutouts(spark, sf_dir):
+    """Parts of every document's page, a system for each ten rows with measures inside, by file name: their sizes and what they hold."""
+    pages = _typed_pages(spark, sf_dir)
+    system = pages.select("doc_id", "width", "height", F.explode(F.sequence(F.lit(0), F.ceil(F.col("height") / 10).cast("int"))).alias("s"))
+    box = lambda x, y, w, h: F.struct(x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"))
+    folder, top = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.col("s") * 10
+    part = lambda kind, number, bounds: F.struct(cutouts.named(folder, number, kind).alias("name"), bounds.alias("bounds"))
+    measures = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda m: part("measure", F.col("s") * 4 + m + 1, box(m * 20 + F.col("doc_id").cast("int") % 7, top + m, F.lit(15), F.lit(6))))
+    each = system.select("doc_id", "width", "height", F.explode(F.concat(F.array(part("system", F.col("s") + 1, box(F.lit(2), top, F.lit(70), F.lit(9)))), measures)).alias("b"))
+    boxes = each.select("doc_id", "b.name", crop_rect(F.col("b.bounds"), F.col("width"), F.col("height")).alias("rect"))
+    found = cutouts.crops(pages, boxes, ["doc_id"])
+    return found.select("doc_id", "name", "width", "height", F.sha2(F.coalesce("gray", F.lit(b"")), 256).alias("sha256"))
+
+
+CUTOUTS = f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS text FROM documents),
+p AS (SELECT doc_id, CAST(ceil(length(text) / {PAGE_WIDTH}) AS INT) AS height, text FROM t),
+s AS (SELECT *, unnest(range(0, CAST(ceil(height / 10.0) AS INT) + 1)) AS s FROM p),
+b AS (SELECT doc_id, height, text, printf('doc_%d/systems/system_%04d.png', doc_id, s + 1) AS name, 2 AS x, s * 10 AS y, 70 AS w, 9 AS h FROM s
+  UNION ALL SELECT doc_id, height, text, printf('doc_%d/measures/measure_%04d.png', doc_id, s * 4 + m + 1), m * 20 + doc_id % 7, s * 10 + m, 15, 6 FROM s, (SELECT unnest(range(4)) AS m)),
+r AS (SELECT doc_id, text, name, greatest(0, x - 2) AS x0, greatest(0, y - 2) AS y0, least({PAGE_WIDTH}, x + w + 2) AS x1, least(height, y + h + 2) AS y1 FROM b),
+c AS (SELECT *, x1 > x0 AND y1 > y0 AS full_ FROM r)
+SELECT doc_id, name, CAST(CASE WHEN full_ THEN x1 - x0 ELSE 0 END AS INT) AS width, CAST(CASE WHEN full_ THEN y1 - y0 ELSE 0 END AS INT) AS height,
+  sha256(CASE WHEN full_ THEN array_to_string(list_transform(range(y0, y1), lambda y: rpad(substring(text, CAST(y * {PAGE_WIDTH} + x0 + 1 AS BIGINT), CAST(x1 - x0 AS BIGINT)), CAST(x1 - x0 AS INT), ' ')), '') ELSE '' END) AS sha256 FROM c"""
+
+#: Values of the pixels that form regions: a and b, capitals, digits and marks.
+INK = (32, 98)
+
+
+def ink_regions(spark, sf_dir):
+    """Boxes and areas of the regions of dark characters on every document's page (``_typed_pages``)."""
+    pages = _typed_pages(spark, sf_dir)
+    runs = regions.kept_runs(pages, ["doc_id"], F.lit(INK[0]), F.lit(INK[1]))
+    return regions.regions(runs, ["doc_id"]).drop("region")
+
+
+REGIONS = f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS text FROM documents),
+px AS (SELECT doc_id, (i - 1) // {PAGE_WIDTH} AS y, (i - 1) % {PAGE_WIDTH} AS x FROM (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS ch FROM (SELECT doc_id, string_split(text, '') AS c FROM t WHERE text <> ''))
+  WHERE ord(ch) > {INK[0]} AND ord(ch) <= {INK[1]}),
+runs AS MATERIALIZED (SELECT doc_id, y, min(x) AS a, max(x) + 1 AS z, y * 1000 + min(x) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY doc_id, y ORDER BY x) AS g FROM px) GROUP BY doc_id, y, g),
+e AS MATERIALIZED (SELECT l.doc_id, l.id AS u, p.id AS v FROM runs l JOIN runs p ON p.doc_id = l.doc_id AND p.y = l.y - 1 AND l.a <= p.z AND p.a <= l.z),
+s AS MATERIALIZED (SELECT doc_id, u, v FROM e UNION ALL SELECT doc_id, v, u FROM e),
+r(doc_id, id, least) AS (SELECT doc_id, id, id FROM runs UNION SELECT r.doc_id, s.v, r.least FROM r JOIN s ON s.doc_id = r.doc_id AND s.u = r.id WHERE r.least < s.v),
+m AS (SELECT doc_id, id, min(least) AS region FROM r GROUP BY ALL)
+SELECT doc_id, CAST(min(a) AS INT) AS x, CAST(min(y) AS INT) AS y, CAST(max(z) - min(a) AS INT) AS w, CAST(max(y) - min(y) + 1 AS INT) AS h, CAST(sum(z - a) AS BIGINT) AS area
+FROM runs JOIN m USING (doc_id, id) GROUP BY doc_id, region"""
+
 QUERIES = {
+    "ink_regions": (ink_regions, REGIONS),
+    "page_cutouts": (page_cutouts, CUTOUTS),
     "pdf_page_table": (pdf_page_table, PDF_PAGES),
 }

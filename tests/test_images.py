@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorelake.operators import images
+from scorelake.operators import cutouts, images
 
 
 def page(spark, *arrays):
@@ -64,7 +64,7 @@ def test_page_passes(spark):
     assert {k: v.shape for k, v in back(images.main_sheet(pages)).items()}[0] == (60, 60)
     assert back(images.tight(pages))[0].shape == (62, 62) and back(images.tight(pages))[2].shape == (30, 40)
     boxes = spark.createDataFrame([(0, "a", (30, 20, 40, 25))], "page int, name string, rect struct<left:int,top:int,right:int,bottom:int>")
-    assert (back(images.crops(pages, boxes, ["page"]))[0] == 10).all()
+    assert (back(cutouts.crops(pages, boxes, ["page"]))[0] == 10).all()
     assert back(images.toned(pages, images.truncation_table()))[0].max() == 255
     skew = images.with_skew(found, "t")
     assert abs({r["page"]: r["skew"] for r in skew.collect()}[1] - 2.0) < 0.2
