@@ -34,12 +34,64 @@ def _first(nodes: DataFrame, group: list[str], node: str) -> DataFrame:
     return nodes.groupBy(*group).agg(F.min("node_id").alias(node))
 
 
-def documents(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """Nodes (kept) of all books and sheets: ``keys sheet`` (null for the book) and the node columns."""
-    found = members(archives, keys, content, f"{BOOK}|{SHEET}").where("data IS NOT NULL")
+#: Why an archive has no layout; ``unlisted`` alone stops none.
+REASONS = ("archive", "member", "not XML", "empty", "no book", "missing sheet", "sheet twice", "no size", "unlisted")
+
+
+def texts(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """``keys name sheet xml error`` (kept): the documents of all archives, sheet null for the book; what can't be read has an error.
+
+    An archive that can't be opened is one row without a name, so is one without such documents.
+    """
+    found = members(archives, keys, content, f"{BOOK}|{SHEET}")
     number = F.nullif(F.regexp_extract("name", SHEET, 1), F.lit("")).try_cast("int")
-    text = found.select(*keys, number.alias("sheet"), F.col("data").cast("string").alias("xml"))
-    return materialize(xml_nodes(text, [*keys, "sheet"]).where("node_id >= 0"))
+    table = materialize(found.select(*keys, "name", number.alias("sheet"), F.col("data").cast("string").alias("xml"), "error"))
+    none = archives.select(*keys).distinct().join(table.select(*keys), keys, "left_anti")
+    blank = (F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("sheet", "int"), ("xml", "string")))
+    return table.unionByName(none.select(*keys, *blank, F.lit("no documents").alias("error")))
+
+
+def node_table(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes (kept) of :func:`texts`: ``keys sheet`` (null for the book) and the node columns; ``node_id`` -1 where a text is no XML."""
+    return materialize(xml_nodes(documents.where("xml IS NOT NULL").select(*keys, "sheet", "xml"), [*keys, "sheet"]))
+
+
+def documents(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Nodes (kept) of all books and sheets that can be read."""
+    return node_table(texts(archives, keys, content), keys).where("node_id >= 0")
+
+
+def problems(found: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys name reason detail fatal`` (kept) of :func:`texts` and their nodes: what is wrong with which archive, by ``REASONS``.
+
+    The book's sheets are held against those that were read, both ways; a sheet without the size of its page counts as
+    unreadable. Only a sheet that the book doesn't list leaves its archive's layout as it is.
+    """
+    told = lambda rows, reason, name="name", detail=None: rows.select(
+        *keys, F.col(name).alias("name") if name else F.lit(None).cast("string").alias("name"), reason if not isinstance(reason, str) else F.lit(reason).alias("reason"),
+        (F.col(detail) if detail else F.lit(None).cast("string")).alias("detail"),
+    )
+    file = F.when(F.col("sheet").isNull(), "book.xml").otherwise(F.concat(F.lit("sheet#"), F.col("sheet").cast("string"), F.lit("/sheet#"), F.col("sheet").cast("string"), F.lit(".xml"))).alias("name")
+    unread = told(found.where("error IS NOT NULL"), F.when(F.col("name").isNull(), "archive").otherwise("member").alias("reason"), detail="error")
+    broken = told(nodes.where("node_id = -1").select(*keys, file, "text"), "not XML", detail="text")
+    empty = told(found.where("error IS NULL AND trim(coalesce(xml, '')) RLIKE '^\\\\s*$'"), "empty")
+    opened = found.groupBy(*keys).agg(F.bool_or(F.col("name").isNull()).alias("_shut"), F.bool_or(F.col("name").isNotNull() & F.col("sheet").isNull()).alias("_book"))
+    bookless = told(opened.where("NOT _shut AND NOT _book"), "no book", None)
+    listed = book_sheets(nodes.where("node_id >= 0"), keys).groupBy(*keys, "sheet").agg(F.count(F.lit(1)).alias("_n"))
+    have = found.where("sheet IS NOT NULL").select(*keys, "sheet").distinct()
+    lost = told(listed.join(have, [*keys, "sheet"], "left_anti").select(*keys, file), "missing sheet")
+    twice = told(listed.where("_n > 1").select(*keys, file), "sheet twice")
+    own = nodes.where("node_id >= 0 AND sheet IS NOT NULL")
+    size = _number("width").isNotNull() & _number("height").isNotNull()
+    sized = own.groupBy(*keys, "sheet").agg(F.min_by(F.when(path() == "sheet/picture", size), F.when(path() == "sheet/picture", F.col("node_id"))).alias("_ok"))
+    bare = told(sized.where("NOT coalesce(_ok, false)").join(listed, [*keys, "sheet"], "left_semi").select(*keys, file), "no size")
+    # a book that can't be read lists nothing: its sheets aren't told one by one
+    books = nodes.where("node_id = 0 AND sheet IS NULL").select(*keys).distinct()
+    unlisted = told(have.join(books, keys, "left_semi").join(listed, [*keys, "sheet"], "left_anti").select(*keys, file), "unlisted")
+    every = unread
+    for part in (broken, empty, bookless, lost, twice, bare, unlisted):
+        every = every.unionByName(part)
+    return materialize(every.withColumn("fatal", F.col("reason") != "unlisted"))
 
 
 def book_sheets(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,14 +107,30 @@ def book_version(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.where(F.col("sheet").isNull() & (path() == "book")).select(*keys, F.coalesce(F.col("attrs")["software-version"], F.lit("")).alias("version"))
 
 
+def read(archives: DataFrame, keys: list[str], content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Layouts (:func:`layouts_of`) and problems (:func:`problems`): each archive has a layout or a fatal problem."""
+    found = texts(archives, keys, content)
+    nodes = node_table(found, keys)
+    told = problems(found, nodes, keys)
+    bad = told.where("fatal").select(*keys).distinct()
+    good = layouts_of(nodes.where("node_id >= 0").join(bad, keys, "left_anti"), keys)
+    every = found.select(*keys).distinct().join(bad, keys, "left_anti")
+    # a book without sheets has a layout without any
+    return every.join(good, keys, "left").select(*keys, F.coalesce("sheets", F.array().cast(good.schema["sheets"].dataType)).alias("sheets")), told
+
+
 def layouts(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """``keys sheets``: the nested layout of each archive.
+    """``keys sheets`` of the archives without a fatal problem; :func:`read` tells the others."""
+    return read(archives, keys, content)[0]
+
+
+def layouts_of(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys sheets``: the nested layout of each archive, from the nodes of its book and sheets.
 
     A sheet's first page counts, and of a system its first part's staves. Stacks
     stand from left to right, and measures are numbered in that order: within the
     sheet, and over sheets from the numbers of measures that the book declares.
     """
-    nodes = documents(archives, keys, content)
     book = book_sheets(nodes, keys)
     sheet = [*keys, "sheet"]
     own = nodes.join(book.select(*sheet), sheet, "left_semi")

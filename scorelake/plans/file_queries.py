@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions.geometry import crop_rect
-from scorelake.operators import cutouts, pdf_pages, regions
+from scorelake.operators import cutouts, lines, pdf_pages, recognition, regions
 from scorelake.sources.pdf_objects import pdf_nodes
 from scorelake.sources.tables import materialize
 
@@ -125,7 +125,98 @@ m AS (SELECT doc_id, id, min(least) AS region FROM r GROUP BY ALL)
 SELECT doc_id, CAST(min(a) AS INT) AS x, CAST(min(y) AS INT) AS y, CAST(max(z) - min(a) AS INT) AS w, CAST(max(y) - min(y) + 1 AS INT) AS h, CAST(sum(z - a) AS BIGINT) AS area
 FROM runs JOIN m USING (doc_id, id) GROUP BY doc_id, region"""
 
+#: Pixels that a character is wide and a line is high where documents are turned pages.
+SCALE = 10
+
+
+def page_angles(spark, sf_dir):
+    """Every document's words as strokes of a page that is turned by up to 6 %, and the angle that is found."""
+    runs = regions.run_table(_typed_pages(spark, sf_dir), ["doc_id"], F.lit(32), F.lit(255))
+    a, z, slope = F.col("a") * SCALE, F.col("z") * SCALE, F.col("doc_id") % 121 - 60
+    y = F.col("y") * SCALE + F.floor((slope * (a + z) - F.pmod(slope * (a + z), F.lit(2000))) / 2000)
+    # some strokes of a row may be one after turning: runs stay as they are
+    runs = materialize(runs.select("doc_id", y.cast("int").alias("y"), a.alias("a"), z.alias("z")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(PAGE_WIDTH * SCALE).alias("width"))
+    found = lines.turned(runs, docs, ["doc_id"])
+    return found.select("doc_id", "n", F.round("slope", 5).alias("slope"), F.round("angle", 5).alias("angle"), "method")
+
+
+_W = str(PAGE_WIDTH * SCALE)
+ANGLES = f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS text FROM documents),
+px AS (SELECT doc_id, (i - 1) // {PAGE_WIDTH} AS y, (i - 1) % {PAGE_WIDTH} AS x FROM (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS ch FROM (SELECT doc_id, string_split(text, '') AS c FROM t WHERE text <> '')) WHERE ch <> ' '),
+flat AS (SELECT doc_id, y * {SCALE} AS y, min(x) * {SCALE} AS a, (max(x) + 1) * {SCALE} AS z FROM (SELECT *, x - row_number() OVER (PARTITION BY doc_id, y ORDER BY x) AS g FROM px) GROUP BY doc_id, y, g),
+runs AS MATERIALIZED (SELECT doc_id, y + CAST(floor((doc_id % 121 - 60) * (a + z) / 2000) AS BIGINT) AS y, a, z FROM flat),
+rough AS (SELECT doc_id, k, CAST(floor((2000 * y - k * (a + z - {_W})) / {2000 * lines.COARSE}) AS BIGINT) AS rho, sum(z - a) AS n
+  FROM (SELECT doc_id, a, z, y, unnest(range(-{lines.MOST}, {lines.MOST + 1}, {lines.STEP})) AS k FROM runs) GROUP BY ALL),
+best AS (SELECT doc_id, arg_max(k, (e, -abs(k), k)) AS best FROM (SELECT doc_id, k, sum(n * n) AS e FROM rough GROUP BY ALL) GROUP BY 1),
+fine AS (SELECT doc_id, k, CAST(floor((2000 * y - k * (a + z - {_W})) / 2000) AS BIGINT) AS rho, sum(z - a) AS n
+  FROM (SELECT doc_id, a, z, y, unnest(range(best - {lines.STEP}, best + {lines.STEP + 1})) AS k FROM runs JOIN best USING (doc_id)) GROUP BY ALL),
+ranked AS (SELECT *, ((n * 256 + (128 - abs(k))) * 2 + CAST(k >= 0 AS INT)) * {1 << 21} + ({1 << 20} - rho) AS r FROM fine),
+peaks AS (SELECT * FROM (SELECT *, max(r) OVER (PARTITION BY doc_id ORDER BY rho RANGE BETWEEN {lines.NEAR} PRECEDING AND {lines.NEAR} FOLLOWING) AS most FROM ranked) WHERE r = most AND n >= 100),
+near AS (SELECT p.doc_id, p.k, p.rho, z - a AS n, a + z - {_W} AS x, y - rho AS y FROM peaks p JOIN runs r ON r.doc_id = p.doc_id AND abs(2000 * (y - rho) - p.k * (a + z - {_W})) <= {2000 * lines.NEAR}),
+sums AS (SELECT doc_id, k, rho, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * x) AS BIGINT) AS sx, CAST(sum(n * y) AS BIGINT) AS sy, CAST(sum(n * x * y) AS BIGINT) AS sxy, CAST(sum(n * x * x + (n * n * n - n) // 3) AS BIGINT) AS sxx FROM near GROUP BY ALL),
+fit AS (SELECT doc_id, 2000.0::DOUBLE * (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM sums WHERE n * sxx > sx * sx),
+of_lines AS (SELECT doc_id, count(*) AS n, median(slope) AS slope FROM fit WHERE abs(slope) <= {lines.MOST} GROUP BY 1),
+pts AS (SELECT doc_id, y, min(a) AS x FROM runs GROUP BY doc_id, y UNION ALL SELECT doc_id, y, max(z) - 1 FROM runs GROUP BY doc_id, y),
+area AS (SELECT doc_id, k, u::DOUBLE * v / (1000000 + k * k) AS s FROM (SELECT doc_id, k, max(1000 * x + k * y) - min(1000 * x + k * y) AS u, max(1000 * y - k * x) - min(1000 * y - k * x) AS v FROM pts, (SELECT unnest(range(-{lines.TILT}, {lines.TILT + 1}, {lines.TILT_STEP})) AS k) GROUP BY doc_id, k)),
+tilt0 AS (SELECT doc_id, arg_min(k, (s, abs(k), k)) AS k0 FROM area GROUP BY 1),
+area1 AS (SELECT doc_id, k, u::DOUBLE * v / (1000000 + k * k) AS s FROM (SELECT doc_id, k, max(1000 * x + k * y) - min(1000 * x + k * y) AS u, max(1000 * y - k * x) - min(1000 * y - k * x) AS v
+  FROM (SELECT doc_id, x, y, unnest(range(greatest(-{lines.TILT}, k0 - {lines.TILT_STEP}), least({lines.TILT}, k0 + {lines.TILT_STEP}) + 1)) AS k FROM pts JOIN tilt0 USING (doc_id)) GROUP BY doc_id, k)),
+of_box AS (SELECT doc_id, arg_min(k, (s, abs(k), k))::DOUBLE AS slope FROM area1 GROUP BY 1),
+every AS (SELECT doc_id, coalesce(l.n, 0) AS n, CASE WHEN l.n >= {lines.LEAST} THEN l.slope ELSE b.slope END AS slope, CASE WHEN l.n >= {lines.LEAST} THEN 'lines' WHEN b.slope IS NOT NULL THEN 'box' ELSE 'none' END AS method
+  FROM t LEFT JOIN of_lines l USING (doc_id) LEFT JOIN of_box b USING (doc_id))
+SELECT doc_id, n, round(slope, 5) AS slope, round(degrees(atan(slope / 1000)), 5) AS angle, method FROM every"""
+
+def _books(spark, sf_dir):
+    """An archive's documents for each customer, a sheet for each order: ``file name sheet xml error``. By the customer's number one of several things is wrong."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("file")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    k, n, text = F.col("file"), F.col("n"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    page = lambda j: F.when(j % 3 != 0, '<page delta-measure-id="2"/>').otherwise("<page/>")
+    listed = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda j: text('<sheet number="', j, '">', page(j), "</sheet>")), "")
+    book = o.where(k % 9 != 5).select("file", F.lit("book.xml").alias("name"), F.lit(None).cast("int").alias("sheet"), text('<book software-version="5.3">', listed, "</book>").alias("xml"))
+    last = F.when(k % 9 == 2, n + 1).otherwise(n)
+    j = F.col("sheet")
+    each = o.select("file", F.explode(F.sequence(F.lit(1), last)).alias("sheet")).where((k % 9 != 1) | (j != 1))
+    stack = lambda s, m: f'<stack id="{m}" left="{100 * m}" right="{100 * m + 80}"/>'
+    staff = lambda s: f'<part id="1"><staff left="50" right="900"><lines><line><point x="1" y="{100 * s}.5"/></line><line><point x="1" y="{100 * s + 40}"/></line></lines></staff></part>'
+    glyph = text('<sig><inters><head><bounds x="', 20 + j, '" y="110" w="5" h="', 60 + j, '"/></head></inters></sig>')
+    system = lambda s: text(f'<system id="{s}">', stack(s, 2), stack(s, 1), staff(s), glyph if s == 1 else "", "</system>")
+    size = F.when((k % 9 == 4) & (j == 1), "").otherwise(text('<picture width="', 1000 + 10 * j, '" height="800"/>'))
+    scale = F.when(j % 3 == 0, "").otherwise(text('<scale><interline main="', 10 + j % 4, '"/></scale>'))
+    xml = text("<sheet>", scale, size, "<page>", system(1), system(2), "</page>", F.when((k % 9 == 3) & (j == 1), "").otherwise("</sheet>"))
+    sheets = each.select("file", text("sheet#", j, "/sheet#", j, ".xml").alias("name"), "sheet", xml.alias("xml"))
+    return book.unionByName(sheets).withColumn("error", F.lit(None).cast("string")).repartition(spark.sparkContext.defaultParallelism, "file")
+
+
+def recognition_layout(spark, sf_dir):
+    """Every customer's archive: the systems of its layout, or what is wrong with it."""
+    found = materialize(_books(spark, sf_dir))
+    nodes = recognition.node_table(found, ["file"])
+    told = recognition.problems(found, nodes, ["file"])
+    bad = told.where("fatal").select("file").distinct()
+    layouts = recognition.layouts_of(nodes.where("node_id >= 0").join(bad, "file", "left_anti"), ["file"])
+    page = layouts.select("file", F.explode("sheets").alias("p")).select("file", "p.*").select("file", "sheet", F.explode("systems").alias("s"))
+    none = lambda **c: [F.lit(None).cast(t).alias(n) for n, t in c.items()]
+    at = lambda i: F.get("s.measure_range", F.lit(i)).cast("long")
+    systems = page.select(
+        "file", *none(name="string", reason="string", fatal="boolean"), F.col("sheet").cast("long").alias("sheet"), F.col("s.global_id").cast("long").alias("system"),
+        *(F.col(f"s.bounds.{c}").cast("long").alias(c) for c in ("x", "y", "width", "height")), at(0).alias("first_measure"), at(1).alias("last_measure"),
+    )
+    return systems.unionByName(told.select("file", "name", "reason", "fatal", *none(**dict.fromkeys(systems.columns[4:], "long"))))
+
+
+LAYOUT = """WITH o AS (SELECT o_custkey AS file, count(*) AS n FROM orders GROUP BY 1),
+s AS (SELECT file, j, s, 100 * s AS top, CASE WHEN j % 3 = 0 THEN 90 ELSE [45, 50, 54, 58][j % 4 + 1] END AS pad FROM (SELECT file, unnest(range(1, n + 1)) AS j FROM o WHERE file % 9 NOT IN (1, 3, 4, 5)), (SELECT unnest([1, 2]) AS s)),
+b AS (SELECT *, CASE WHEN s = 1 THEN least(50, 20 + j) ELSE 50 END AS x, CASE WHEN s = 1 THEN least(greatest(0, top - pad), 110) ELSE greatest(0, top - pad) END AS y,
+  CASE WHEN s = 1 THEN greatest(least(799, top + 40 + pad), 170 + j) ELSE least(799, top + 40 + pad) END AS bottom, 2 * ((j - 1) - (j - 1) // 3) + 2 * s - 1 AS first FROM s)
+SELECT file, NULL::VARCHAR AS name, NULL::VARCHAR AS reason, NULL::BOOLEAN AS fatal, j AS sheet, 2 * (j - 1) + s AS system, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(900 - x AS BIGINT) AS width, CAST(bottom - y AS BIGINT) AS height,
+  CAST(first AS BIGINT) AS first_measure, CAST(first + 1 AS BIGINT) AS last_measure FROM b
+UNION ALL SELECT file, CASE file % 9 WHEN 2 THEN 'sheet#' || (n + 1) || '/sheet#' || (n + 1) || '.xml' WHEN 5 THEN NULL ELSE 'sheet#1/sheet#1.xml' END,
+  CASE file % 9 WHEN 1 THEN 'missing sheet' WHEN 2 THEN 'unlisted' WHEN 3 THEN 'not XML' WHEN 4 THEN 'no size' ELSE 'no book' END, file % 9 <> 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM o WHERE file % 9 BETWEEN 1 AND 5"""
+
 QUERIES = {
+    "recognition_layout": (recognition_layout, LAYOUT),
+    "page_angles": (page_angles, ANGLES),
     "ink_regions": (ink_regions, REGIONS),
     "page_cutouts": (page_cutouts, CUTOUTS),
     "pdf_page_table": (pdf_page_table, PDF_PAGES),

@@ -61,3 +61,41 @@ def test_layout_json_and_cut_outs(spark):
     r = cut["measures/measure_0002.png"]
     assert (np.frombuffer(r["gray"], np.uint8).reshape(r["height"], r["width"]) == page[47:228, 92:188]).all()
     assert recognition.book_version(recognition.documents(rows(spark), ["id"]), ["id"]).collect()[0]["version"] == "5.3"
+
+
+SIZED = '<sheet><picture width="9" height="9"/><page><system id="1"><stack id="1" left="1" right="2"/></system></page></sheet>'
+LISTS = lambda *n: "<book>" + "".join(f'<sheet number="{k}"><page delta-measure-id="1"/></sheet>' for k in n) + "</book>"
+ODD = {
+    "good": ({"book.xml": LISTS(1), "sheet#1/sheet#1.xml": SIZED}, set()),
+    "lost": ({"book.xml": LISTS(1, 2), "sheet#1/sheet#1.xml": SIZED}, {("sheet#2/sheet#2.xml", "missing sheet")}),
+    "more": ({"book.xml": LISTS(1), "sheet#1/sheet#1.xml": SIZED, "sheet#7/sheet#7.xml": "<sheet/>"}, {("sheet#7/sheet#7.xml", "unlisted")}),
+    "twice": ({"book.xml": LISTS(1, 1), "sheet#1/sheet#1.xml": SIZED}, {("sheet#1/sheet#1.xml", "sheet twice")}),
+    "broken": ({"book.xml": LISTS(1), "sheet#1/sheet#1.xml": SIZED[:-3]}, {("sheet#1/sheet#1.xml", "not XML")}),
+    "blank": ({"book.xml": LISTS(1), "sheet#1/sheet#1.xml": " \n"}, {("sheet#1/sheet#1.xml", "empty")}),
+    "no book": ({"sheet#1/sheet#1.xml": SIZED}, {(None, "no book")}),
+    "bad book": ({"book.xml": "<book>", "sheet#1/sheet#1.xml": SIZED}, {("book.xml", "not XML")}),
+    "no size": ({"book.xml": LISTS(1), "sheet#1/sheet#1.xml": SIZED.replace('width="9"', 'width="x"')}, {("sheet#1/sheet#1.xml", "no size")}),
+    "no sheets": ({"book.xml": "<book/>"}, set()),
+    "nothing": ({}, {(None, "archive")}),
+    "other": ({"readme.txt": "x"}, {(None, "archive")}),
+}
+
+
+def test_every_archive_has_a_layout_or_a_reason(spark):
+    data = [(k, archive(**files)) for k, (files, _) in ODD.items()]
+    flawed = bytearray(archive(**{"book.xml": LISTS(1), "sheet#1/sheet#1.xml": SIZED}))
+    at = flawed.index(b"<sheet><picture")
+    flawed[at : at + 4] = b"\0\0\0\0"  # its checksum tells
+    df = spark.createDataFrame([*data, ("flawed", flawed), ("junk", bytearray(b"x")), ("null", None)], "id string, content binary").repartition(3)
+    layouts, told = recognition.read(df, ["id"])
+    got = {}
+    for r in told.collect():
+        assert r["fatal"] == (r["reason"] != "unlisted") and r["reason"] in recognition.REASONS
+        got.setdefault(r["id"], set()).add((r["name"], r["reason"]))
+    want = {k: w for k, (_, w) in ODD.items() if w} | {"junk": {(None, "archive")}, "null": {(None, "archive")}, "flawed": {("sheet#1/sheet#1.xml", "member")}}
+    assert got == want
+    sheets = {r["id"]: len(r["sheets"]) for r in layouts.collect()}
+    assert sheets == {"good": 1, "more": 1, "no sheets": 0}
+    assert set(sheets) | {k for k, w in got.items() if {r for _, r in w} != {"unlisted"}} == {*ODD, "flawed", "junk", "null"}
+    empty = recognition.read(df.limit(0), ["id"])
+    assert empty[0].count() == empty[1].count() == 0
