@@ -234,9 +234,9 @@ SELECT l_orderkey, kind, CAST(global_id AS INT) AS global_id, {_score_sql('body'
 _COMMENT = "% automatically converted by musicxml2ly "
 
 
-def line_fold_header(spark, sf_dir):
-    """Documents as engraving text: commas open and full stops close braces; first letters make header, comment and definition lines."""
-    marks = {"E": r"\header ", "A": _COMMENT, "S": "voice ="}
+def _engraved(spark, sf_dir, more: dict[str, str]):
+    """``doc_id text source lang``: documents as engraving text; commas open and full stops close braces, first letters make header, comment, definition and other lines."""
+    marks = {"E": r"\header ", "A": _COMMENT, "S": "voice ="} | more
 
     def line(x):
         made = F.when(F.lit(False), x)
@@ -245,8 +245,13 @@ def line_fold_header(spark, sf_dir):
         return made.otherwise(x)
 
     text = F.array_join(F.transform(F.split(F.translate("text", ",.", "{}"), "\n"), line), "\n")
-    d = _docs(spark, sf_dir).select("doc_id", engraving.split_preamble(text).alias("s"))
-    return d.select("doc_id", F.sha2("s.preamble", 256).alias("preamble_sha256"), F.length("s.preamble").alias("n_preamble"), F.length("s.rest").alias("n_rest"))
+    return _docs(spark, sf_dir).select("doc_id", text.alias("text"), "source", "lang")
+
+
+def line_fold_header(spark, sf_dir):
+    """Preambles without comment lines and header blocks, and what follows them."""
+    d = engraving.split_documents(_engraved(spark, sf_dir, {}), ["doc_id"])
+    return d.select("doc_id", F.sha2("preamble", 256).alias("preamble_sha256"), F.length("preamble").alias("n_preamble"), F.length("rest").alias("n_rest"))
 
 
 LINE_FOLD = f"""WITH RECURSIVE a AS (SELECT doc_id, string_split(translate(coalesce(text, ''), ',.', '{{}}'), chr(10)) AS raw FROM documents),
@@ -263,6 +268,28 @@ SELECT doc_id, sha256(coalesce(preamble, '')) AS preamble_sha256, CAST(length(co
   CAST(CASE WHEN first > 0 THEN length(array_to_string(ls[first:], chr(10))) ELSE 0 END AS INT) AS n_rest FROM p LEFT JOIN k USING (doc_id)"""
 
 
+_NAMES = {"I": r"\set Staff.instrumentName = ", "U": r" \set Staff.shortInstrumentName ="}
+
+
+def engraving_merge(spark, sf_dir):
+    """Engraving files put together: preamble, a header block of source and language, and the rest, without the names of single instruments."""
+    header = T.header_block({"title": F.col("source"), "composer": F.col("lang")})
+    made = engraving.merged(_engraved(spark, sf_dir, _NAMES).withColumn("header", header), ["doc_id"])
+    return made.select("doc_id", F.length("merged").alias("n_merged"), F.sha2("merged", 256).alias("merged_sha256"))
+
+
+_FOLDED, _ENDED = LINE_FOLD.replace(" ELSE '' END || x)", "".join(f" WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items()) + " ELSE '' END || x)").rsplit("\nSELECT", 1)
+_COUNT = lambda kind: f"len(regexp_extract_all(rest, '(?m)^[ \\t]*\\\\set\\s+\\w+\\.{kind}\\s*=.*(?:\\n|$)'))"
+_LESS = lambda of, kind: f"regexp_replace({of}, '(?m)^[ \\t]*\\\\set\\s+\\w+\\.{kind}\\s*=.*(?:\\n|$)', '', 'g')"
+_BOTH = _LESS(_LESS("rest", "instrumentName"), "shortInstrumentName")
+MERGE = f"""{_FOLDED},
+q AS (SELECT p.doc_id, coalesce(preamble, '') AS preamble, CASE WHEN first > 0 THEN array_to_string(ls[first:], chr(10)) ELSE '' END AS rest FROM p LEFT JOIN k USING (doc_id)),
+n AS (SELECT doc_id, preamble, CASE WHEN {_COUNT('instrumentName')} <= 1 AND {_COUNT('shortInstrumentName')} <= 1 THEN {_BOTH} ELSE rest END AS rest FROM q),
+h AS (SELECT doc_id, list_filter([CASE WHEN coalesce(source, '') <> '' THEN '  title = "' || source || '"' END, CASE WHEN coalesce(lang, '') <> '' THEN '  composer = "' || lang || '"' END], lambda x: x IS NOT NULL) AS f FROM documents),
+w AS (SELECT n.doc_id, preamble || repeat(chr(10), 2) || array_to_string(list_concat(['\\header {{'], f, ['  tagline = ##f', '}}']), chr(10)) || repeat(chr(10), 2) || rest AS merged FROM n JOIN h USING (doc_id))
+SELECT doc_id, CAST(length(merged) AS INT) AS n_merged, sha256(merged) AS merged_sha256 FROM w"""
+
+
 def fingerprint(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.fingerprint(F.col("text")).alias("checksum"))
 
@@ -358,6 +385,7 @@ QUERIES = {
     "score_clean": (score_clean, SCORE_CLEAN),
     "score_snippets": (score_snippets, SNIPPETS),
     "line_fold_header": (line_fold_header, LINE_FOLD),
+    "engraving_merge": (engraving_merge, MERGE),
     "fingerprint": (fingerprint, FINGERPRINT),
     "stale_decision": (stale_decision, STALE),
     "stage_invalidation": (stage_invalidation, INVALIDATION),

@@ -160,12 +160,40 @@ def preamble(text):
     return "\n".join(out).rstrip("\n"), ""
 
 
-def test_preamble_matches_a_fold(spark):
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_preamble_matches_a_fold(spark, monkeypatch, block):
+    monkeypatch.setattr(engraving, "BLOCK", block)
     rng = random.Random(9)
-    pieces = ["\\header {", "\\header", "{", "}", "a { b", "% automatically converted by musicxml2ly x", "\\version \"2.24\"", "", "}} {", "\\header { a }"]
-    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(9))) + rng.choice(["", "\nPart =  {\n \\header {\n}", "\n"]) for _ in range(80)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", engraving.split_preamble(F.col("text")).alias("s")).select("i", "s.*")
-    assert {r["i"]: (r["preamble"], r["rest"]) for r in rows_of(df)} == {i: preamble(t) for i, t in enumerate(texts)}
+    pieces = ["\\header {", "\\header", "{", "}", "a { b", "% automatically converted by musicxml2ly x", "\\version \"2.24\"", "", "}} {", "\\header { a }", "{ {", "\\header { {"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(14))) + rng.choice(["", "\nPart =  {\n \\header {\n}", "\n"]) for _ in range(150)]
+    df = engraving.split_documents(spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, text string"), ["i"])
+    assert {r["i"]: (r["preamble"], r["rest"]) for r in rows_of(df)} == {-1: ("", "")} | {i: preamble(t) for i, t in enumerate(texts)}
+
+
+def test_blocks_of_lines_compose():
+    """A block's function gives the depth that its lines, taken one by one, end at."""
+    rng = random.Random(10)
+    for _ in range(3000):
+        n = rng.randrange(12)
+        net, header = [rng.randint(-3, 3) for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
+        made = engraving.block_function(net, header)
+        for start in range(9):
+            depth = start
+            for b, h in zip(net, header):
+                depth = max(0, depth + b) if h or depth else 0
+            assert engraving.depth_after(start, *made) == depth, (net, header, start)
+
+
+def test_a_document_of_very_many_lines(spark):
+    line = "\\header {\n x\n}\nkept\n"
+    df = spark.createDataFrame([(1, line * 250_000 + "p = 1\nq")], "i int, text string")
+    r = engraving.split_documents(df, ["i"]).collect()[0]
+    assert r["preamble"] == "\n".join(["kept"] * 250_000) and r["rest"] == "p = 1\nq"
+
+
+def test_merged_files(spark):
+    df = spark.createDataFrame([(1, "\\version \"2\"\n\\header {\n}\np = {\n  \\set Staff.instrumentName = \"A\"\n}", "\\header {\n}")], "i int, text string, header string")
+    assert engraving.merged(df, ["i"]).collect()[0]["merged"] == "\\version \"2\"\n\n\\header {\n}\n\np = {\n}"
 
 
 def test_instrument_lines(spark):
