@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scorelake.operators import artifacts, bundles
+from scorelake.operators import artifacts, bundles, catalogues
 from scorelake.plans.document_queries import _D, _N
 
 
@@ -126,7 +126,25 @@ c(bundle, start, stage) AS (SELECT bundle, up, down FROM e UNION SELECT c.bundle
 l AS (SELECT DISTINCT bundle, start AS stage FROM c WHERE start = stage)
 SELECT bundle, stage, arg_min(start, (n, start)) AS because, CAST(min(n) AS INT) AS distance, bool_or(l.stage IS NOT NULL) AS in_cycle FROM r LEFT JOIN l USING (bundle, stage) GROUP BY ALL"""
 
+def catalogue_changes(spark, sf_dir):
+    """Customers' catalogues with keys that no schema knows: read, changed at one to three paths by the customer's number, written."""
+    n, of = F.col("bundle"), _customers(spark, sf_dir)
+    number = n.cast("string")
+    text = F.concat(F.lit('{"note":{"deep":[1,{"n":'), number, F.lit('}]},"stages":{"pages":{"outputs":["p/'), number, F.lit('"],"extra":true}},"command":["new"]}'))
+    path = lambda *keys: F.array(*map(F.lit, keys))
+    change = lambda when, where, value: of.where(when).select("bundle", where.alias("path"), F.parse_json(value).alias("value"))
+    changes = change(n % 3 == 0, path("stages", "pages", "outputs"), F.concat(F.lit('["q/'), number, F.lit('"]')))
+    changes = changes.unionByName(change(n % 4 == 0, path("input", "absolute"), F.concat(F.lit('"/in/'), F.col("c_name"), F.lit('"'))))
+    changes = changes.unionByName(change(n % 5 == 0, path("note"), F.lit(None).cast("string")))
+    read = catalogues.read(of.select("bundle", text.alias("json")), ["bundle"])
+    return catalogues.write(catalogues.changed(read, changes, ["bundle"]), ["bundle"])
+
+
+CHANGES = """SELECT c_custkey AS bundle, '{"command":["new"]' || CASE WHEN c_custkey % 4 = 0 THEN ',"input":{"absolute":"/in/' || c_name || '"}' ELSE '' END
+  || CASE WHEN c_custkey % 5 <> 0 THEN ',"note":{"deep":[1,{"n":' || c_custkey || '}]}' ELSE '' END || ',"stages":{"pages":{"extra":true,"outputs":["' || CASE WHEN c_custkey % 3 = 0 THEN 'q/' ELSE 'p/' END || c_custkey || '"]}}}' AS json FROM customer"""
+
 QUERIES = {
+    "catalogue_changes": (catalogue_changes, CHANGES),
     "dependency_closure": (dependency_closure, CLOSURE),
     "source_choice": (source_choice, CHOICE),
     "forced_stage": (forced_stage, FORCED),

@@ -41,4 +41,13 @@ def materialize(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     finally:
         if batch_bytes:
             spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`materialize` that nothing reads any more: what was made of them has been written."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
