@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelake.functions import text as T
 from scorelake.functions.geometry import crop_rect
-from scorelake.operators import cutouts, lines, pdf_pages, recognition, regions
+from scorelake.operators import cutouts, layout, lines, pdf_pages, recognition, regions
 from scorelake.sources.pdf_objects import pdf_nodes
 from scorelake.sources.tables import materialize
 
@@ -214,7 +215,34 @@ SELECT file, NULL::VARCHAR AS name, NULL::VARCHAR AS reason, NULL::BOOLEAN AS fa
 UNION ALL SELECT file, CASE file % 9 WHEN 2 THEN 'sheet#' || (n + 1) || '/sheet#' || (n + 1) || '.xml' WHEN 5 THEN NULL ELSE 'sheet#1/sheet#1.xml' END,
   CASE file % 9 WHEN 1 THEN 'missing sheet' WHEN 2 THEN 'unlisted' WHEN 3 THEN 'not XML' WHEN 4 THEN 'no size' ELSE 'no book' END, file % 9 <> 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM o WHERE file % 9 BETWEEN 1 AND 5"""
 
+def page_file_sheets(spark, sf_dir):
+    """Orders name their customer's page images; in the order of their names these stand for sheets 1, 2 and so on."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    path = F.concat(F.lit("pages/page_"), F.lpad((F.col("o_orderkey") * 7919 % 100003).cast("string"), 6, "0"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".png"))
+    return layout.page_files(o.select(F.col("o_custkey").alias("file"), path.alias("path")), ["file"])
+
+
+SHEETS = """SELECT file, path, CAST(row_number() OVER (PARTITION BY file ORDER BY path) AS INT) AS sheet FROM (
+  SELECT o_custkey AS file, 'pages/page_' || lpad(CAST(o_orderkey * 7919 % 100003 AS VARCHAR), 6, '0') || '_' || o_orderkey || '.png' AS path FROM orders)"""
+
+
+def answered_fields(spark, sf_dir):
+    """What customers' titles become once those that weren't given have been asked for."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    given = F.when(k % 3 == 0, "-").when(k % 3 == 1, "").otherwise(name)
+    extracted = F.when(k % 5 != 0, F.concat(F.lit("found "), k.cast("string")))
+    answer = F.when(k % 4 == 0, " - ").when(k % 4 == 1, "  ").when(k % 4 == 2, F.concat(F.lit(" told "), k.cast("string")))
+    made = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", T.answered(given, extracted, answer).alias("a"), T.preferred(given, extracted).alias("p"))
+    return made.select("c_custkey", F.col("a.text").alias("text"), F.col("a.confirmed").alias("confirmed"), F.col("p.text").alias("unasked"), F.col("p.confirmed").alias("unasked_confirmed"))
+
+
+ANSWERED = """WITH e AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN 'found ' || c_custkey ELSE '' END AS e FROM customer)
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 2 THEN c_name ELSE CASE c_custkey % 4 WHEN 0 THEN '' WHEN 2 THEN 'told ' || c_custkey ELSE e END END AS text, true AS confirmed,
+  CASE c_custkey % 3 WHEN 0 THEN '' WHEN 2 THEN c_name ELSE e END AS unasked, c_custkey % 3 <> 1 AS unasked_confirmed FROM e"""
+
 QUERIES = {
+    "page_file_sheets": (page_file_sheets, SHEETS),
+    "answered_fields": (answered_fields, ANSWERED),
     "recognition_layout": (recognition_layout, LAYOUT),
     "page_angles": (page_angles, ANGLES),
     "ink_regions": (ink_regions, REGIONS),
