@@ -13,9 +13,10 @@ zeros (6 bits) and the ``MANTISSA`` bits after the first one: 16 bits, 256 bytes
    6,000 cases). Below 0.85 by more than ``SIGMAS`` standard deviations, the pair goes.
 3. What is left is verified on the full sets: 100 * intersection >= 85 * union.
 
-Sets that are equal are one class, which has registers once. Groups under a band are searched
-with leaders first and in tiles of two blocks then, leaving out what one component holds
-already; components come from alternating stars over tables (``ngram_join``).
+Sets that are equal are one class, which has registers once. The classes under a band are
+compared with its least and greatest first. Where that leaves a class in another component
+than the least one, all classes of the band are searched in tiles of two blocks, leaving out what
+one component holds; components come from alternating stars over tables (``ngram_join``).
 
 Defined results: null, empty and blank texts have no shingles, no registers and are linked
 with nothing; a text of fewer words than a shingle is one shingle; rows that repeat an id
@@ -27,11 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import tidy
-from scorelake.llm.ngram_join import common_tokens, grouped, mixed, named, profiles, representatives, shared_shingles
+from scorelake.llm.common import keep, tidy
+from scorelake.llm.ngram_join import SALTS, common_tokens, grouped, mixed, named, profiles, representatives
 
 PERCENT = 85
 SHUFFLES, BUCKETS, BAND, MANTISSA = 16, 8, 4, 10
@@ -95,11 +96,20 @@ class Registers:
 
     percent = PERCENT
 
+    def __init__(self):
+        self._last = None, None
+
+    def _of(self, s: np.ndarray) -> np.ndarray:
+        if self._last[0] is not s:
+            self._last = s, registers(s)
+        return self._last[1]
+
     def sign(self, s: np.ndarray) -> bytes:
-        return registers(s).tobytes()
+        return self._of(s).tobytes()
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        return np.unique(bands(registers(s)))
+        """What is counted to tell which tokens are common: the bands."""
+        return np.unique(bands(self._of(s)))
 
     def stack(self, raw: list[np.ndarray]) -> np.ndarray:
         return np.stack(raw).view(np.uint16)
@@ -140,13 +150,42 @@ def banded(classes: DataFrame, common: list[int]) -> DataFrame:
     return classes.select("class", "n", "bits").mapInArrow(tidy(task), "token long, often boolean, class long, n long")
 
 
+def met(each: DataFrame) -> DataFrame:
+    """``class n lo hi tokens`` (kept): the bands of a class whose least class is lo; hi is another of their classes.
+
+    The classes of a common band are dealt into parts with leaders of their own, which
+    stand once more under the leaders of all parts.
+    """
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("class"), F.lit(SALTS))).otherwise(-1).cast("int")
+    part = Window.partitionBy("token", "salt")
+    rows = each.withColumn("salt", salt).repartition("token", "salt").dropDuplicates(["token", "salt", "class"])
+    rows = rows.select("token", "salt", "class", "n", F.min("class").over(part).alias("lo"), F.max("class").over(part).alias("hi"))
+    rows = keep(rows.where("lo != hi OR salt >= 0"))
+    firsts = rows.where("salt >= 0 AND class = lo").select("token", "class", "n", "lo", "hi")
+    whole = firsts.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
+    every = rows.select("token", "class", "n", "lo", "hi").unionByName(firsts.drop("lo", "hi").join(whole, "token"))
+    return keep(every.groupBy("class", "n", "lo").agg(F.max("hi").alias("hi"), F.collect_list("token").alias("tokens")))
+
+
+def unsettled(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """``token class n`` (kept) of the bands in which a class isn't in the component of the least one; of bands with the same classes one."""
+    root = comps.select(F.col("class").alias("_class"), F.col("root").alias("_root"))
+    ends = groups
+    for end in ("class", "lo"):
+        ends = ends.join(root, F.col(end) == F.col("_class"), "left").withColumn(f"_of_{end}", F.coalesce("_root", end)).drop("_class", "_root")
+    wanted = keep(ends.where("_of_class != _of_lo").select(F.explode("tokens").alias("token")).distinct())
+    rows = keep(groups.select(F.explode("tokens").alias("token"), "class", "n").join(wanted, "token", "left_semi").distinct())
+    sets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("set"), "class")).alias("h2"))
+    return keep(rows.join(sets.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "token", "left_semi"))
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id n_shingles class component_id`` for each row."""
     how = Registers()
     rows, counted = profiles(docs, doc_id, text, how)
     rows, classes, renamed = named(rows)
-    shared = shared_shingles(banded(classes, common_tokens(counted, classes)))
-    return grouped(docs, doc_id, text, rows, classes, shared, renamed, how)
+    groups = met(banded(classes, common_tokens(counted, classes)))
+    return grouped(docs, doc_id, text, rows, classes, groups, lambda comps: unsettled(groups, comps), renamed, how)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

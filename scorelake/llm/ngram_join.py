@@ -12,7 +12,7 @@ class and linked at once, so copies never form pairs. Of classes that differ:
 3. Shingles that still hold several components become tiles: all their classes,
    sorted by size, so that a class meets only the band of sizes that may link;
    large groups are split into pairs of blocks, leaving out what one component
-   holds on both sides. Bitmaps of two bits and more a shingle bound each
+   holds on both sides. Bitmaps of a bit and more a shingle bound each
    overlap from above: a pair differs in as many shingles at least as its parity
    bitmaps differ in bits. A pair is reported under the least shingle it shares.
 4. What passes is decided by intersecting the sorted arrays. The class that has more
@@ -46,7 +46,8 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import fresh, keep, row_key, sized_broadcast, text_of, tidy
 
 WORDS, PERCENT = 5, 75
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A-Z in lower case, white space as spaces.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 18
 #: A shingle is common if one of so many classes has it. A task reports those that one in so many of its own classes has,
@@ -65,8 +66,10 @@ FIRST = 3
 ROUNDS = ((1, None), (None, 8), (None, 512), (None, None))
 #: Shingles of a class that travel along, so that a pair is reported under the least of those it shares; classes with more report again.
 LISTED = 24
-#: Words whose hashes a task remembers, and their bytes.
-CACHED, CACHED_BYTES = 1 << 17, 16 << 20
+#: Blocks of eight bytes of a word that are mixed here; longer words are digested whole.
+LONG = 8
+#: Shingles of a text that is named by 128 bits of each.
+FEW = 16
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -76,69 +79,91 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def joined(w: np.ndarray, words: int) -> np.ndarray:
+    """The hash of each stretch of so many words, from the words' hashes, one after the other."""
+    n = len(w) - words + 1
+    h = w[:n]
+    for k in range(1, words):
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += w[k : k + n]
+    return mixed(h + np.uint64(words))
+
+
+def word_hashes(text: bytes, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of a text's words (places and bytes), mixed block by block of eight bytes; 64 bytes have to follow the text."""
+    h = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    eight = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))  # the eight bytes from each place on
+    at = np.flatnonzero(size > 0)
+    for k in range(0, 8 * LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        left = np.minimum(size[at] - k, 8).astype(np.uint64)
+        block = eight[start[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        h[at] = mixed((h[at] ^ block) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
+    for i in np.flatnonzero(size > 8 * LONG).tolist():
+        digest = hashlib.blake2b(memoryview(text)[start[i] : start[i] + size[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = np.uint64(int.from_bytes(digest, "little"))
+    return h
+
+
 class Shingler:
     """Shingle hashes of UTF-8 texts, many texts at a time.
 
-    A word's hash is a digest of its bytes, a shingle's 128 bits are mixed from its
-    words' one after the other. Sets are compared by the first 64 bits and named by all.
+    A word's hash is mixed from its bytes and a shingle's from its words', one after the other and
+    not linearly. Sets are compared by 64 bits; a set of few shingles, which differs from others
+    in few of them, is named by 128 bits of each.
     """
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self._forget()
-
-    def _forget(self):
-        self.number: dict[bytes, int] = {}
-        self.table, self.held = np.zeros((0, 2), np.uint64), 0
 
     def sets(self, texts: list[bytes]):
         """The sorted distinct hashes of each text and 128 bits that name the set, in order."""
-        held: list[list[bytes]] = []
+        held: list[bytes] = []
         size = 0
         for t in texts:
-            held.append(t.translate(LOWER).split())
+            held.append(t.translate(PLAIN))
             size += len(t)
             if size >= CHUNK:
                 yield from self._hash(held)
                 held, size = [], 0
         yield from self._hash(held)
 
-    def _of_words(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.number)
-        if len(self.number) + len(new) > CACHED or self.held > CACHED_BYTES:
-            self._forget()
-            new = set(words)
-        self.held += sum(map(len, new))
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        found = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in new)
-        self.table = np.concatenate([self.table, np.frombuffer(found, np.uint64).reshape(-1, 2)])
-        return self.table[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))]
-
-    def _joined(self, w: np.ndarray, words: int) -> np.ndarray:
-        n = len(w) - words + 1
-        h = w[:n]
-        for k in range(1, words):
-            h = mixed(h + np.uint64(k)) ^ w[k : k + n]
-        return mixed(h + np.uint64(words))
-
-    def _hash(self, texts: list[list[bytes]]):
-        w = self._of_words([x for t in texts for x in t])
-        full = self._joined(w, self.words) if len(w) >= self.words else w[:0]
+    def _hash(self, texts: list[bytes]):
+        whole = b"\n".join(texts) + b"\n" + b" " * 64
+        b = np.frombuffer(whole, np.uint8)
+        edges = np.diff(((b != 32) & (b != 10)).astype(np.int8), prepend=0)
+        start = np.flatnonzero(edges == 1)
+        size = np.flatnonzero(edges == -1) - start
+        # words before the end of each text
+        upto = np.searchsorted(start, np.flatnonzero(b == 10)).tolist()
+        w = word_hashes(whole, start, size, 1)
+        full = joined(w, self.words) if len(w) >= self.words else w[:0]
         at = 0
-        for t in texts:
-            if not t:
+        for end in upto[: len(texts)]:
+            n = end - at
+            if not n:
                 yield np.zeros(0, np.uint64), b""
                 continue
-            h = full[at : at + len(t) - self.words + 1] if len(t) >= self.words else self._joined(w[at : at + len(t)], len(t))
-            at += len(t)
-            h = h[np.argsort(h[:, 0], kind="stable")]
-            h = h[np.concatenate(([True], h[1:, 0] != h[:-1, 0]))]
-            yield np.ascontiguousarray(h[:, 0]), hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+            s = full[at : end - self.words + 1] if n >= self.words else joined(w[at:end], n)
+            if len(s) > FEW:
+                s = np.sort(s)
+                s = name = s[np.concatenate(([True], s[1:] != s[:-1]))]
+            else:
+                again = joined(word_hashes(whole, start[at:end], size[at:end], 2), min(n, self.words))
+                s, name = np.unique(s), np.unique(np.stack([s, again], axis=1), axis=0)
+            at = end
+            yield s, hashlib.blake2b(name.tobytes(), digest_size=16).digest()
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity bitmap: each shingle flips a bit. At least two bits for each shingle, a power of two in all."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """Parity bitmap: each shingle flips a bit. At least one bit for each shingle, a power of two in all.
+
+    Two unrelated sets of n then differ in about n / 2 bits, where linked ones differ in 2 n / 7 at most.
+    """
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
     at = (s >> np.uint64(20)) & np.uint64(bits - 1)
     odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
@@ -650,19 +675,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rows, counted = profiles(docs, doc_id, text, how)
     rows, classes, renamed = named(rows)
     shared = shared_shingles(prefixes(docs, text, common_tokens(counted, classes), renamed))
-    return grouped(docs, doc_id, text, rows, classes, shared, renamed, how)
+    return grouped(docs, doc_id, text, rows, classes, shared, lambda comps: shared.select("token", "class", "n"), renamed, how)
 
 
-def grouped(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, classes: DataFrame, shared: DataFrame, renamed: dict, how: Bitmaps) -> DataFrame:
-    """The result of a join: components of the classes that ``shared`` tokens bring together and whose sets link."""
-    led = shared.select("class", F.explode(F.array("lo", "hi")).alias("l")).where(F.col("class") != F.col("l"))
+def grouped(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, classes: DataFrame, leaders: DataFrame, rest, renamed: dict, how: Bitmaps) -> DataFrame:
+    """The result of a join: components of the classes that tokens bring together and whose sets link.
+
+    ``leaders``: class, lo, hi, which are compared first. ``rest`` makes of the components that follow
+    the rows ``token class n`` that are still to be searched.
+    """
+    led = leaders.select("class", F.explode(F.array("lo", "hi")).alias("l")).where(F.col("class") != F.col("l"))
     led = led.select(F.least("class", "l").alias("a"), F.greatest("class", "l").alias("b")).distinct()
     sizes = classes.select("class", "n")
     for end in ("a", "b"):
         led = led.join(sizes.select(F.col("class").alias(end), F.col("n").alias(f"n{end}")), end)
-    shared = shared.select("token", "class", "n")
     tested = keep(bounded(led.where(compatible(F.col("na"), F.col("nb"), how.percent)).select("a", "b"), classes, how))
     comps = keep(components(keep(exact(tested, docs, doc_id, text, classes, renamed, how.percent))))
+    shared = rest(comps)
     first = shared.groupBy("class", "n").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("ts"))
     searched = first.select(F.explode("ts").alias("token"), "class", "n")
     for k, (near, most) in enumerate(ROUNDS):
