@@ -9,14 +9,14 @@ zeros (6 bits) and the ``MANTISSA`` bits after the first one: 16 bits, 256 bytes
    counts as equal), so of pairs with J = 0.85 one in 10^10 has no equal band.
 2. Of two sets that meet, the estimate of J counts equal registers among those that
    one of them fills, less the equal ones that chance makes from different hashes
-   (two different least hashes share their leading zeros and mantissa in one of some
-   6,000 cases). Below 0.85 by more than ``SIGMAS`` standard deviations, the pair goes.
+   (two different least hashes share their leading zeros and mantissa in one of some 6,000
+   cases, and the byte of a register that travels in one of 255). Below 0.85 by more than ``SIGMAS`` standard deviations, the pair goes.
 3. What is left is verified on the full sets: 100 * intersection >= 85 * union.
 
 Sets that are equal are one class, which has registers once. The classes under a band are
-compared with its least and greatest first. Where that leaves a class in another component
-than the least one, all classes of the band are searched in tiles of two blocks, leaving out what
-one component holds; components come from alternating stars over tables (``ngram_join``).
+compared with its least and greatest first; bands that still hold several components are
+searched in tiles of two blocks, leaving out what one component holds; components come from
+alternating stars over tables (``ngram_join``).
 
 Defined results: null, empty and blank texts have no shingles, no registers and are linked
 with nothing; a text of fewer words than a shingle is one shingle; rows that repeat an id
@@ -28,11 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import keep, tidy
-from scorelake.llm.ngram_join import SALTS, common_tokens, grouped, mixed, named, profiles, representatives
+from scorelake.llm.ngram_join import LISTED, common_tokens, grouped, mixed, named, profiles, representatives, shared_shingles
 
 PERCENT = 85
 SHUFFLES, BUCKETS, BAND, MANTISSA = 16, 8, 4, 10
@@ -80,9 +80,14 @@ def chance(n, m):
     return 2.0**-MANTISSA / (2 * np.log(2)) * n * m / (n + m) ** 2
 
 
+def short(r: np.ndarray) -> np.ndarray:
+    """A byte for each register, 0 for an empty one: what travels to compare sets. Different registers share theirs in one of 255 cases."""
+    return np.where(r > 0, 1 + mixed(r.astype(np.uint64)) % np.uint64(255), 0).astype(np.uint8)
+
+
 def estimate(equal, used, n, m):
-    """Jaccard similarity from equal and used registers, corrected for collisions."""
-    c = chance(n, m)
+    """Jaccard similarity from equal and used registers (:func:`short`), corrected for collisions of both kinds."""
+    c = chance(n, m) + 1 / 255
     return (equal / np.maximum(used, 1) - c) / (1 - c)
 
 
@@ -94,7 +99,7 @@ def least_estimate(used):
 class Registers:
     """Signatures of sets: their registers."""
 
-    percent = PERCENT
+    percent, listed = PERCENT, LISTED
 
     def __init__(self):
         self._last = None, None
@@ -112,7 +117,7 @@ class Registers:
         return np.unique(bands(self._of(s)))
 
     def stack(self, raw: list[np.ndarray]) -> np.ndarray:
-        return np.stack(raw).view(np.uint16)
+        return np.stack(raw)
 
     def compare(self, signs: np.ndarray, i: int, j: np.ndarray, n: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether row i (a set of size n) may link with the rows j (sizes m), and how far they are."""
@@ -150,33 +155,19 @@ def banded(classes: DataFrame, common: list[int]) -> DataFrame:
     return classes.select("class", "n", "bits").mapInArrow(tidy(task), "token long, often boolean, class long, n long")
 
 
-def met(each: DataFrame) -> DataFrame:
-    """``class n lo hi tokens`` (kept): the bands of a class whose least class is lo; hi is another of their classes.
+def shortened(classes: DataFrame) -> DataFrame:
+    """``classes`` (kept) with their registers shortened."""
 
-    The classes of a common band are dealt into parts with leaders of their own, which
-    stand once more under the leaders of all parts.
-    """
-    salt = F.when(F.col("often"), F.pmod(F.xxhash64("class"), F.lit(SALTS))).otherwise(-1).cast("int")
-    part = Window.partitionBy("token", "salt")
-    rows = each.withColumn("salt", salt).repartition("token", "salt").dropDuplicates(["token", "salt", "class"])
-    rows = rows.select("token", "salt", "class", "n", F.min("class").over(part).alias("lo"), F.max("class").over(part).alias("hi"))
-    rows = keep(rows.where("lo != hi OR salt >= 0"))
-    firsts = rows.where("salt >= 0 AND class = lo").select("token", "class", "n", "lo", "hi")
-    whole = firsts.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
-    every = rows.select("token", "class", "n", "lo", "hi").unionByName(firsts.drop("lo", "hi").join(whole, "token"))
-    return keep(every.groupBy("class", "n", "lo").agg(F.max("hi").alias("hi"), F.collect_list("token").alias("tokens")))
-
-
-def unsettled(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """``token class n`` (kept) of the bands in which a class isn't in the component of the least one; of bands with the same classes one."""
-    root = comps.select(F.col("class").alias("_class"), F.col("root").alias("_root"))
-    ends = groups
-    for end in ("class", "lo"):
-        ends = ends.join(root, F.col(end) == F.col("_class"), "left").withColumn(f"_of_{end}", F.coalesce("_root", end)).drop("_class", "_root")
-    wanted = keep(ends.where("_of_class != _of_lo").select(F.explode("tokens").alias("token")).distinct())
-    rows = keep(groups.select(F.explode("tokens").alias("token"), "class", "n").join(wanted, "token", "left_semi").distinct())
-    sets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("set"), "class")).alias("h2"))
-    return keep(rows.join(sets.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "token", "left_semi"))
+    def task(batches):
+        for batch in batches:
+            r = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16)
+            width = SHUFFLES * BUCKETS
+            size = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            bits = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, size.buffers()[1], pa.py_buffer(short(r).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), bits], names=["class", "rep", "n", "bits"])
+
+    rows = classes.select("class", "rep", "n", "bits")
+    return keep(rows.mapInArrow(tidy(task), rows.schema))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,8 +175,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     how = Registers()
     rows, counted = profiles(docs, doc_id, text, how)
     rows, classes, renamed = named(rows)
-    groups = met(banded(classes, common_tokens(counted, classes)))
-    return grouped(docs, doc_id, text, rows, classes, groups, lambda comps: unsettled(groups, comps), renamed, how)
+    shared = shared_shingles(banded(classes, common_tokens(counted, classes)))
+    return grouped(docs, doc_id, text, rows, shortened(classes), shared, lambda comps: shared.select("token", "class", "n"), renamed, how)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import fresh, keep, row_key, sized_broadcast, text_of, tidy
+from scorelake.sources.tables import remove
 
 WORDS, PERCENT = 5, 75
 #: A-Z in lower case, white space as spaces.
@@ -179,7 +180,7 @@ def folded(b: np.ndarray, size: int) -> np.ndarray:
 class Bitmaps:
     """Signatures of sets: bitmaps whose differing bits bound an overlap from above."""
 
-    percent = PERCENT
+    percent, listed = PERCENT, LISTED
 
     def sign(self, s: np.ndarray) -> bytes:
         return bitmap(s).tobytes()
@@ -406,7 +407,7 @@ def _intersect(x: bytes, ys: list[bytes], percent: int = PERCENT) -> list[bool]:
 
 
 def exact(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, renamed: dict, percent: int = PERCENT) -> DataFrame:
-    """Of ``a b`` those that link, by the sorted arrays of their shingles."""
+    """Of ``a b`` those that link (kept), by the sorted arrays of their shingles."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = keep(classes.join(wanted, "class", "left_semi").select("class", F.col("rep").alias("_rep")))
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
@@ -422,7 +423,9 @@ def exact(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: Da
 
     # a repeated id brings texts of other classes along, a repeated row its class twice
     sets = keep(texts.mapInArrow(tidy(task), "class long, value binary").join(chosen.select("class"), "class", "left_semi"))
-    return compared(pairs, sets, partial(_intersect, percent=percent)).distinct()
+    found = keep(compared(pairs, sets, partial(_intersect, percent=percent)).distinct())
+    remove(sets, chosen)
+    return found
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, how: Bitmaps) -> DataFrame:
@@ -568,7 +571,7 @@ def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, near: int | N
         F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("giant_blocks"),
     )
     rows = rows.join(groups, "token")
-    lists = rows.groupBy("class").agg(F.when(F.count(F.lit(1)) <= LISTED, F.collect_list("token")).alias("tokens"))
+    lists = rows.groupBy("class").agg(F.when(F.count(F.lit(1)) <= how.listed, F.collect_list("token")).alias("tokens"))
     is_giant = F.col("comp") == F.col("giant")
     block = lambda of: F.pmod(F.xxhash64("class"), F.col(of)).cast("int")
     upto = lambda a, b: F.when(F.lit(a) < F.lit(b), F.sequence(F.lit(a), F.lit(b) - 1)).otherwise(F.array().cast("array<int>"))
@@ -690,7 +693,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, classes: D
     for end in ("a", "b"):
         led = led.join(sizes.select(F.col("class").alias(end), F.col("n").alias(f"n{end}")), end)
     tested = keep(bounded(led.where(compatible(F.col("na"), F.col("nb"), how.percent)).select("a", "b"), classes, how))
-    comps = keep(components(keep(exact(tested, docs, doc_id, text, classes, renamed, how.percent))))
+    comps = keep(components(exact(tested, docs, doc_id, text, classes, renamed, how.percent)))
     shared = rest(comps)
     first = shared.groupBy("class", "n").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("ts"))
     searched = first.select(F.explode("ts").alias("token"), "class", "n")
@@ -698,7 +701,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, classes: D
         passed = keep(tiles(searched, comps, classes, near, most, how))
         new = keep(passed.where("b IS NOT NULL").join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            more = keep(exact(new, docs, doc_id, text, classes, renamed, how.percent))
+            more = exact(new, docs, doc_id, text, classes, renamed, how.percent)
             tested = tested.unionByName(new)
             if not more.isEmpty():
                 comps = keep(merged(comps, more))

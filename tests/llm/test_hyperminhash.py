@@ -114,7 +114,7 @@ def test_estimates_and_collisions(monkeypatch):
             x = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
             n = int(2000 * (1 - j) / (1 + j))
             a, b = x[:2000], x[n : n + 2000]
-            ra, rb = hmh.registers(a), hmh.registers(b)
+            ra, rb = hmh.short(hmh.registers(a)), hmh.short(hmh.registers(b))
             out.append((hmh.estimate((ra == rb).sum(), (ra > 0).sum(), 2000, 2000), (ra == rb).mean()))
     for j, out in found.items():
         got, raw = np.mean(out, axis=0)
