@@ -11,6 +11,9 @@ zeros (6 bits) and the ``MANTISSA`` bits after the first one: 16 bits, 256 bytes
    one of them fills, less the equal ones that chance makes from different hashes
    (two different least hashes share their leading zeros and mantissa in one of some 6,000
    cases, and the byte of a register that travels in one of 255). Below 0.85 by more than ``SIGMAS`` standard deviations, the pair goes.
+   Such a margin lets pairs down to 0.63 pass, which in a group of near copies are most of all its pairs. So parity
+   bitmaps of ``ROOM`` bits a shingle travel along, whose differing bits bound an overlap from above: no link is lost
+   by them, and what passes is within a few shingles of linking.
 3. What is left is verified on the full sets: 100 * intersection >= 85 * union.
 
 Sets that are equal are one class, which has registers once. The classes under a band are
@@ -32,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import keep, tidy
-from scorelake.llm.ngram_join import LISTED, common_tokens, grouped, mixed, named, profiles, representatives, shared_shingles
+from scorelake.llm.ngram_join import bitmap, common_tokens, folded, grouped, may_link, mixed, named, profiles, representatives, shared_shingles
 
 PERCENT = 85
 SHUFFLES, BUCKETS, BAND, MANTISSA = 16, 8, 4, 10
 #: Standard deviations by which an estimate may fall short.
 SIGMAS = 7.0
+#: Bits of a parity bitmap for each shingle, at least.
+ROOM = 2
 #: Hashes of a set that are shuffled at a time.
 CHUNK = 1 << 14
 
@@ -97,9 +102,11 @@ def least_estimate(used):
 
 
 class Registers:
-    """Signatures of sets: their registers."""
+    """Signatures of sets: their registers, then their parity bitmaps; once :func:`shortened`, a byte a register."""
 
-    percent, listed = PERCENT, LISTED
+    percent, width = PERCENT, SHUFFLES * BUCKETS
+    #: A class has few bands, which are all listed: no pair is reported twice, and what tiles read is joined once.
+    listed, tiled = SHUFFLES * BUCKETS // BAND, False
 
     def __init__(self):
         self._last = None, None
@@ -110,28 +117,40 @@ class Registers:
         return self._last[1]
 
     def sign(self, s: np.ndarray) -> bytes:
-        return self._of(s).tobytes()
+        return self._of(s).tobytes() + bitmap(s, ROOM).tobytes()
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """What is counted to tell which tokens are common: the bands."""
         return np.unique(bands(self._of(s)))
 
     def stack(self, raw: list[np.ndarray]) -> np.ndarray:
-        return np.stack(raw)
+        """Signatures as rows that can be compared, all of the first one's size."""
+        size = len(raw[0]) - self.width
+        return np.stack([x if len(x) == self.width + size else np.concatenate([x[: self.width], folded(x[self.width :], size)]) for x in raw])
 
     def compare(self, signs: np.ndarray, i: int, j: np.ndarray, n: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether row i (a set of size n) may link with the rows j (sizes m), and how far they are."""
-        mine, theirs = signs[i], signs[j]
+        maps = signs[:, self.width :].view(np.uint64)
+        differing = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1).astype(np.int64)
+        ok = may_link(differing, n, m, self.percent)
+        near = np.flatnonzero(ok)
+        mine, theirs = signs[i, : self.width], signs[j[near], : self.width]
         used = ((theirs > 0) | (mine > 0)).sum(axis=1)
         equal = ((theirs == mine) & (mine > 0)).sum(axis=1)
-        found = estimate(equal, used, n, m)
-        return found >= least_estimate(used), -found
+        ok[near] = estimate(equal, used, n, m[near]) >= least_estimate(used)
+        return ok, differing
 
     def bound(self, x: bytes, ys: list[bytes]) -> list[bool]:
         """The same for signatures after their sets' sizes in eight bytes."""
         size = lambda y: int.from_bytes(y[:8], "big")
-        signs = self.stack([np.frombuffer(y, np.uint8)[8:] for y in (x, *ys)])
-        return self.compare(signs, 0, np.arange(1, len(signs)), size(x), np.array([size(y) for y in ys]))[0].tolist()
+        signs, out = [np.frombuffer(y, np.uint8)[8:] for y in (x, *ys)], np.zeros(len(ys), bool)
+        at = np.array([len(s) for s in signs[1:]])
+        # of two bitmaps the larger is folded
+        for least in np.unique(np.minimum(at, len(signs[0]))):
+            part = np.flatnonzero(np.minimum(at, len(signs[0])) == least)
+            rows = self.stack([np.zeros(least, np.uint8), signs[0], *(signs[1 + k] for k in part)])[1:]
+            out[part] = self.compare(rows, 0, np.arange(1, len(rows)), size(x), np.array([size(ys[k]) for k in part]))[0]
+        return out.tolist()
 
 
 def banded(classes: DataFrame, common: list[int]) -> DataFrame:
@@ -144,7 +163,7 @@ def banded(classes: DataFrame, common: list[int]) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                keys = [bands(np.frombuffer(x, np.uint16)).view(np.int64) for x in batch.column(2).to_pylist()]
+                keys = [bands(np.frombuffer(x, np.uint16, SHUFFLES * BUCKETS)).view(np.int64) for x in batch.column(2).to_pylist()]
                 count = [len(k) for k in keys]
                 token = np.concatenate(keys)
                 often = np.isin(token, late)
@@ -159,11 +178,11 @@ def shortened(classes: DataFrame) -> DataFrame:
     """``classes`` (kept) with their registers shortened."""
 
     def task(batches):
+        long = 2 * SHUFFLES * BUCKETS
         for batch in batches:
-            r = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16)
-            width = SHUFFLES * BUCKETS
-            size = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-            bits = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, size.buffers()[1], pa.py_buffer(short(r).tobytes())])
+            signs = batch.column(3).to_pylist()
+            r = short(np.frombuffer(b"".join(x[:long] for x in signs), np.uint16)).reshape(len(signs), -1)
+            bits = pa.array([a.tobytes() + x[long:] for a, x in zip(r, signs, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), bits], names=["class", "rep", "n", "bits"])
 
     rows = classes.select("class", "rep", "n", "bits")

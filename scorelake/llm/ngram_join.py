@@ -159,12 +159,12 @@ class Shingler:
             yield s, hashlib.blake2b(name.tobytes(), digest_size=16).digest()
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity bitmap: each shingle flips a bit. At least one bit for each shingle, a power of two in all.
+def bitmap(s: np.ndarray, room: int = 1) -> np.ndarray:
+    """Parity bitmap: each shingle flips a bit. At least ``room`` bits (a power of two) for each shingle, a power of two in all.
 
     Two unrelated sets of n then differ in about n / 2 bits, where linked ones differ in 2 n / 7 at most.
     """
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    bits = max(64, room << int(len(s) - 1).bit_length())
     at = (s >> np.uint64(20)) & np.uint64(bits - 1)
     odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
@@ -180,7 +180,8 @@ def folded(b: np.ndarray, size: int) -> np.ndarray:
 class Bitmaps:
     """Signatures of sets: bitmaps whose differing bits bound an overlap from above."""
 
-    percent, listed = PERCENT, LISTED
+    #: tiled: only tokens that have tiles are listed; a class has very many others.
+    percent, listed, tiled = PERCENT, LISTED, True
 
     def sign(self, s: np.ndarray) -> bytes:
         return bitmap(s).tobytes()
@@ -434,10 +435,10 @@ def bounded(pairs: DataFrame, classes: DataFrame, how: Bitmaps) -> DataFrame:
     return compared(pairs, classes.select("class", F.concat(size, F.col("bits")).alias("value")), how.bound)
 
 
-def may_link(differing, m, n):
+def may_link(differing, m, n, percent: int = PERCENT):
     """A pair's overlap is at most (m + n - differing bits) / 2."""
     most = (m + n - differing) // 2
-    return 100 * most >= PERCENT * (m + n - most)
+    return 100 * most >= percent * (m + n - most)
 
 
 def are_stars(edges: DataFrame) -> bool:
@@ -571,7 +572,8 @@ def tiles(shared: DataFrame, comps: DataFrame, classes: DataFrame, near: int | N
         F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("giant_blocks"),
     )
     rows = rows.join(groups, "token")
-    lists = rows.groupBy("class").agg(F.when(F.count(F.lit(1)) <= how.listed, F.collect_list("token")).alias("tokens"))
+    # what shares a token that has no tile is one component or has been decided, so all tokens of a class may be listed
+    lists = (rows if how.tiled else shared).groupBy("class").agg(F.when(F.count(F.lit(1)) <= how.listed, F.collect_list("token")).alias("tokens"))
     is_giant = F.col("comp") == F.col("giant")
     block = lambda of: F.pmod(F.xxhash64("class"), F.col(of)).cast("int")
     upto = lambda a, b: F.when(F.lit(a) < F.lit(b), F.sequence(F.lit(a), F.lit(b) - 1)).otherwise(F.array().cast("array<int>"))

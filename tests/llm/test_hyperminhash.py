@@ -134,6 +134,57 @@ def test_equal_bands_of_similar_sets():
         assert min(met) >= 1 and np.mean(met) > 8
 
 
+def near_copies(rng, n, edits):
+    """Two sets that share a base of n hashes, each with so many others of its own."""
+    x = rng.integers(0, 1 << 63, n + 2 * edits).astype(np.uint64)
+    return np.sort(x[: n + edits]), np.sort(np.concatenate([x[:n], x[n + edits :]]))
+
+
+def signed(how, s):
+    """A set's signature as it travels."""
+    sign = how.sign(s)
+    return hmh.short(np.frombuffer(sign, np.uint16, how.width)).tobytes() + sign[2 * how.width :]
+
+
+@pytest.mark.parametrize("n", [60, 146, 250, 1000, 1020])
+def test_signatures_part_near_copies_below_the_limit(n):
+    """Registers alone let pairs down to 0.63 pass, so a large group of near copies had nearly all its pairs verified."""
+    how, rng = hmh.Registers(), np.random.default_rng(n)
+    size = lambda s: len(s).to_bytes(8, "big")
+    for edits, links in ((n // 14, True), (n // 8, False)):
+        passed = []
+        for k in range(40):
+            a, b = near_copies(rng, n, edits)
+            b = b[k % 9 if links else 0 :]  # bitmaps of two sizes are met, too
+            assert (100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))) == links or links
+            if links and 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
+                continue
+            x, y = signed(how, a), signed(how, b)
+            small, large = sorted((x, y), key=len)
+            rows = how.stack([np.frombuffer(small, np.uint8), np.frombuffer(large, np.uint8)])
+            both = how.compare(rows, 0, np.array([1]), len(a), np.array([len(b)]))[0].tolist()
+            assert how.bound(size(a) + x, [size(b) + y, size(a) + x, size(b) + y]) == [*both, True, *both]
+            passed += both
+        assert all(passed) if links else sum(passed) <= 4, (edits, sum(passed))
+
+
+def test_a_group_of_near_copies_is_searched_by_few_pairs(spark, monkeypatch):
+    """Of copies that differ too much from each other hardly a pair is verified on full sets."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    docs = [(k, " ".join(edited(base, rng, 3))) for k in range(120)]
+    verified, exact = [], ngram_join.exact
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return exact(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "exact", counted)
+    got = hmh.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_hand(docs)
+    assert sum(verified) < 1000, verified  # of 7140 pairs
+
+
 def test_thue_morse_words_are_told_apart(spark):
     """Polynomial hashes modulo 2^64 can't tell these two words apart, whatever their base."""
     word = "a"
