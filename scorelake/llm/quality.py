@@ -38,6 +38,8 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 MOST, MOST_BYTES, BUCKETS, WIDTH, EPOCHS = 1500, 256 << 20, 1 << 17, 12, 6
 #: Words that a cache keeps, words of a text that are counted at a time (fewer, so that a slice fits in an empty cache).
 CACHED, SLICE = 300_000, 100_000
+#: New words whose grams are hashed at a time.
+STEP = 10_000
 SHAPE = bytes(
     88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c for c in range(256)
 )
@@ -143,6 +145,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=No
     return {"weights": weights, "bias": float(bias[1] - bias[0])}
 
 
+def places(n: int, first: bytes = b"") -> np.ndarray:
+    """CRC-32 of ``first`` and n bytes as the xor of a row for each byte: a checksum is linear in the bits, but for a constant."""
+    none = zlib.crc32(first + bytes(n))
+    rows = [[zlib.crc32(first + bytes(k) + bytes([c]) + bytes(n - 1 - k)) ^ none for c in range(256)] for k in range(n)]
+    return np.array(rows, np.uint32) ^ np.array([[none if k == 0 else 0] for k in range(n)], np.uint32)
+
+
+THREE, FOUR, SHAPED = places(3), places(4), places(3, b"s")
+SHAPES = np.frombuffer(SHAPE, np.uint8)
+
+
+def totals(words: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the sum of its grams' weights and their number: what :func:`grams` lists, for many words at a time."""
+    marked = [b"<" + w + b">" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    end = np.cumsum(size)
+    text = np.frombuffer(b"".join(marked) + bytes(3), np.uint8)
+    shape = SHAPES[text]
+
+    def weight(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+        crc = rows[0][of[: end[-1]]]
+        for k in range(1, len(rows)):
+            crc = crc ^ rows[k][of[k : k + end[-1]]]
+        found = weights[crc % np.uint32(BUCKETS)]
+        for k in range(1, len(rows)):  # these would reach beyond the word
+            found[end - k] = 0
+        return found
+
+    value = weight(THREE, text) + weight(FOUR, text) + weight(SHAPED, shape)
+    whole = weights[np.fromiter(map(zlib.crc32, marked), np.uint32, len(marked)) % np.uint32(BUCKETS)]
+    return whole + np.add.reduceat(value, end - size), 1 + 2 * (size - 2) + np.maximum(size - 3, 0)
+
+
 class Known:
     """Words met so far by number, with their hash, the sum of their grams' weights, and the number of those."""
 
@@ -154,29 +189,54 @@ class Known:
         new = set(words).difference(self.number)
         if len(self.number) + len(new) > CACHED:
             self.number, new = {}, set(words)
-        for w in new:
-            i = self.number[w] = len(self.number)
-            g = grams(w)
-            self.hash[i], self.total[i], self.size[i] = zlib.crc32(w), self.weights[g].sum(), len(g)
+        if new:
+            self._add(list(new))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
+    def _add(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), STEP):
+            part, i = new[at : at + STEP], len(self.number)
+            self.number.update(zip(part, range(i, i + len(part))))
+            self.hash[i : i + len(part)] = np.fromiter(map(zlib.crc32, part), np.uint32, len(part))
+            self.total[i : i + len(part)], self.size[i : i + len(part)] = totals(part, self.weights)
+
+
+def add_parts(parts: list, total: np.ndarray, n: np.ndarray, model: dict, known: Known) -> None:
+    """Adds to ``total`` and ``n`` the weights and numbers of grams of ``parts``: text, words, whether one of the text before leads them."""
+    length = np.array([len(words) for _, words, _ in parts])
+    start = np.cumsum(length) - length
+    at = known.numbers([w for _, words, _ in parts for w in words])
+    value, count, hashes = known.total[at], known.size[at], known.hash[at]
+    lead = start[[led for _, _, led in parts]]
+    value[lead], count[lead] = 0, 0
+    two = (hashes[:-1] * np.uint32(0x9E3779B1) + hashes[1:]) % np.uint32(BUCKETS)
+    same = (hashes[:-1] == hashes[1:]) * SHOWN
+    more = model["weights"][two] + same * model["weights"][REPEAT]
+    inner = np.ones(len(at), bool)
+    inner[start] = False  # the first word of a part has none before it
+    value[1:] += np.where(inner[1:], more, 0)
+    count[1:] += np.where(inner[1:], 1 + same, 0)
+    of = np.array([i for i, _, _ in parts])
+    np.add.at(total, of, np.add.reduceat(value, start))
+    np.add.at(n, of, np.add.reduceat(count, start))
+
 
 def score_texts(texts: list[bytes], model: dict, known: Known) -> np.ndarray:
     """Softmax of the averaged grams, class 1."""
     if model["weights"] is None:
         return np.full(len(texts), model["share"])
-    weights, out = model["weights"], np.empty(len(texts))
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    parts, held = [], 0
     for i, t in enumerate(texts):
-        total, n = 0.0, 0
         for words, before in slices(t):
-            at = known.numbers(words)
-            hashes = known.hash[at]
-            if before:
-                hashes = np.append(np.uint32(zlib.crc32(before[0])), hashes)
-            two, same = pairs(hashes)
-            total += float(known.total[at].sum() + weights[two].sum() + same * SHOWN * weights[REPEAT])
-            n += int(known.size[at].sum()) + len(two) + same * SHOWN
-        out[i] = model["bias"] + (total / n if n else 0.0)
+            if parts and held + len(before) + len(words) > SLICE:
+                add_parts(parts, total, n, model, known)
+                parts, held = [], 0
+            parts.append((i, before + words, bool(before)))
+            held += len(before) + len(words)
+    if parts:
+        add_parts(parts, total, n, model, known)
+    out = model["bias"] + total / np.maximum(n, 1)
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 

@@ -47,6 +47,27 @@ def test_score_is_the_mean_weight_of_the_bag(monkeypatch, size):
         assert value == pytest.approx(1 / (1 + math.exp(-(mean - 0.3))))
 
 
+def test_totals_are_those_of_the_grams():
+    words = sorted({w for t in TEXTS for w in t.split()} | {b"\xf0\x9f\x98\x80", b"<>", b"A1z", bytes([1, 255, 0]), b"ab"})
+    weights = np.random.default_rng(4).normal(size=quality.BUCKETS)
+    total, size = quality.totals(words, weights)
+    for w, x, k in zip(words, total, size, strict=True):
+        g = quality.grams(w)
+        assert k == len(g) and x == pytest.approx(weights[g].sum())
+
+
+def test_new_words_are_scored_without_listing_their_grams(monkeypatch):
+    """A table where most words are new took some 24 us of CPU for each: its grams were hashed one by one."""
+    model = {"weights": np.random.default_rng(6).normal(size=quality.BUCKETS), "bias": 0.2}
+    texts = [b" ".join(b"w%dx%d" % (i, k) for k in range(50)) for i in range(40)] + [b"", b"one one"]
+    alone = [quality.score_texts([t], model, quality.Known(model))[0] for t in texts]
+    monkeypatch.setattr(quality, "grams", lambda word: pytest.fail("grams of one word"))
+    assert quality.score_texts(texts, model, quality.Known(model)) == pytest.approx(alone)
+    monkeypatch.setattr(quality, "STEP", 3)
+    monkeypatch.setattr(quality, "SLICE", 60)
+    assert quality.score_texts(texts, model, quality.Known(model)) == pytest.approx(alone)
+
+
 def test_a_step_goes_down_the_loss(spark):
     """After training, labelled texts have a small loss; a model without passes has that of chance."""
     docs = spark.createDataFrame([(i, ("good calm words here " if i % 2 else "bad loud words there ") * (1 + i % 7)) for i in range(60)], "doc_id long, text string")
