@@ -14,13 +14,18 @@ PLACES = {
     "composer": '(/score-partwise/identification/creator[@type="composer"])[1]/text()',
     "copyright": "/score-partwise/identification/rights/text()",
 }
+#: Parts fields that are read together; no document can hold it.
+PART = "\uffff"
 
 
 def extract(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """``documents`` with ``info``: a struct of the six fields, trimmed, empty where a document has none."""
-    plain = without_doctype(F.col(xml))
-    read = lambda p: F.coalesce(F.trim(F.xpath_string(plain, F.lit(p))), F.lit(""))
-    return documents.withColumn("info", F.struct(*((read(PLACES[f]) if f in PLACES else F.lit("")).alias(f) for f in HEADER_FIELDS)))
+    # a document is parsed for each path, so all fields are one
+    path = f"concat({f", '{PART}', ".join(PLACES.values())})"
+    found = F.split(F.xpath_string(without_doctype(F.col(xml)), F.lit(path)), PART)
+    read = lambda f: F.coalesce(F.trim(F.get("_found", F.lit(list(PLACES).index(f)))), F.lit(""))
+    info = F.struct(*((read(f) if f in PLACES else F.lit("")).alias(f) for f in HEADER_FIELDS))
+    return documents.withColumn("_found", found).withColumn("info", info).drop("_found")
 
 
 def merge(rows: DataFrame, given: str = "given", extracted: str = "info", answers: str | None = None) -> DataFrame:
