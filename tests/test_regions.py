@@ -63,6 +63,32 @@ def test_regions_match_flood_fill(spark, monkeypatch, corners, tile):
     assert 99 not in found
 
 
+@pytest.mark.parametrize("corners", [True, False])
+@pytest.mark.parametrize("together", [1, 300, 1 << 18])
+def test_regions_of_pages_match_flood_fill(spark, monkeypatch, corners, together):
+    monkeypatch.setattr(regions, "TOGETHER", together)
+    rng = np.random.default_rng(together)
+    pictures = [rng.random((24, 33)) < p for p in (0.2, 0.45, 0.6, 1.1)] + [spiral(33), np.eye(40, dtype=bool), np.zeros((3, 3), bool), np.ones((1, 7), bool), spiral(121)]
+    pages = page(spark, *(np.where(p, 10, 200) for p in pictures)).coalesce(1)
+    found = {}
+    made = regions.page_regions(pages, ["page"], F.lit(-1), F.lit(10), corners)
+    assert "Exchange hash" not in made._jdf.queryExecution().executedPlan().toString()
+    for r in made.collect():
+        found.setdefault(r["page"], []).append((r["x"], r["y"], r["w"], r["h"], r["area"]))
+    for k, p in enumerate(pictures):
+        assert sorted(found.get(k, [])) == filled(p, corners)
+    assert 99 not in found
+    assert made.select("page", "region").exceptAll(regions.regions(regions.kept_runs(pages, ["page"], F.lit(-1), F.lit(10)), ["page"], corners).select("page", "region")).isEmpty()
+
+
+def test_components_of_arrays():
+    """Stars whose middle comes last or first, and a chain that goes up and down."""
+    for n, u, v in ((2001, np.full(2000, 2000), np.arange(2000)), (2001, np.full(2000, 0), np.arange(1, 2001)), (4096, np.random.default_rng(1).permutation(4096)[:-1], np.random.default_rng(1).permutation(4096)[1:])):
+        root = regions._roots(n, u, v)
+        assert len(set(root.tolist())) == 1
+    assert regions._roots(3, np.array([], int), np.array([], int)).tolist() == [0, 1, 2]
+
+
 def test_limits_part_values(spark):
     p = page(spark, np.array([[0, 5, 6, 9, 255]]))
     assert [tuple(r) for r in regions.run_table(p, ["page"], F.lit(0), F.lit(6)).collect()] == [(0, 0, 1, 3)]
