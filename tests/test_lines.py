@@ -101,3 +101,22 @@ def test_lines_match_counts_by_hand(spark, seed):
     for rho, (n, fit) in want.items():
         assert got[rho][0] == n and abs(got[rho][1] - fit) < 1e-6
     assert lines.lines(df.limit(0), pages, ["page"]).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 20])
+def test_packed_pages_match_tables(spark, monkeypatch, at_once):
+    """The same angles from packed runs, wherever counts are made in parts or far apart, and no page is dealt out."""
+    monkeypatch.setattr(lines, "MOST_AT_ONCE", at_once)
+    pages = page(spark, staves(600, 400, 3.0, n=3), staves(300, 60, 0, n=1, gap=40), np.full((20, 30), 255))
+    packed = regions.packed_runs(pages, ["page"], F.lit(-1), F.lit(100))
+    found = lines.turned_pages(packed, ["page"])
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+    want = lines.turned(regions.kept_runs(pages, ["page"], F.lit(-1), F.lit(100)), pages, ["page"])
+    rows = {r["page"]: tuple(r) for r in found.collect()}
+    assert rows == {r["page"]: tuple(r) for r in want.collect()} and {r[4] for r in rows.values()} == {"lines", "box", "none"}
+
+
+def test_runs_far_apart():
+    y, a, z = (np.array(c) for c in ([0, 10**7, 10**7 + 3, 2 * 10**7], [0, 0, 200, 0], [150, 150, 350, 9]))
+    assert sorted((rho, n) for _, rho, n in lines.page_lines(400, y, a, z)) and lines.page_tilt(y, a, z) == 0
+    assert lines.page_lines(400, y[:0], a[:0], z[:0]) == [] and lines.page_tilt(y[:0], a[:0], z[:0]) is None
