@@ -7,15 +7,21 @@ tree has levels. A page has its own resources or those of the nearest node above
 Defined results: a reference to nothing is no page; an inner node that contains itself
 isn't walked again (``problems`` tells it); a file without a tree has no pages. Files are
 told apart by ``keys``; columns of the names used here may not be among them.
+
+A file is parsed by one task as a whole. :func:`read_pages` walks its tree there and then and
+reads only the objects on the way, so no node is moved; :func:`pages` needs the node table.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.operators.artifacts import vector_documents
-from scorelake.sources.pdf_objects import TRAILER
+from scorelake.sources.pdf_objects import TRAILER, Broken, File
 from scorelake.sources.tables import materialize
 
 
@@ -86,6 +92,85 @@ def pages(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "page", "object", F.coalesce("has_resources", F.lit(False)).alias("has_resources"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_objects", "n_images")))
 
 
+#: What a file or an object that can't be read raises.
+_UNREAD = (Broken, ValueError, KeyError, IndexError, TypeError, RecursionError, zlib.error)
+
+
+def _file_pages(f: File) -> list[tuple[int, int, bool, int, int]]:
+    """``page object has_resources n_objects n_images`` of a file, as :func:`pages` has them."""
+    seen: dict = {TRAILER: f.trailer}
+
+    def value(n):
+        if n not in seen:
+            try:
+                seen[n] = f.object(n) if n in f.places and f.places[n][1] != -2 else None
+            except _UNREAD:
+                seen[n] = None
+        return seen[n]
+
+    def entries(x) -> dict:
+        """What a dictionary, or one that a reference names, holds but nulls."""
+        x = value(x[1]) if isinstance(x, tuple) else x
+        return {k: v for k, v in x.items() if v is not None} if isinstance(x, dict) else {}
+
+    counted: dict = {}
+
+    def count(resources):
+        if not isinstance(resources, tuple) or resources not in counted:
+            held = entries(resources)
+            named = [entries(x) for x in entries(held.get("/XObject")).values()]
+            found = bool(held), len(named), sum(x.get("/Subtype") == "/Image" for x in named)
+            if not isinstance(resources, tuple):
+                return found
+            counted[resources] = found
+        return counted[resources]
+
+    top = entries(f.trailer.get("/Root")).get("/Pages")
+    found = []
+    # a page tree begins at an object of the file
+    todo = [(top[1], None, ())] if isinstance(top, tuple) else []
+    while todo:
+        n, given, above = todo.pop()
+        own = entries(("ref", n))
+        kids, kind = own.get("/Kids"), own.get("/Type")
+        given = own.get("/Resources", given)
+        if kids is not None and kind != "/Page":
+            if n not in above:
+                kids = value(kids[1]) if isinstance(kids, tuple) else kids
+                todo += [(x[1], given, (*above, n)) for x in reversed(kids if isinstance(kids, list) else []) if isinstance(x, tuple)]
+        elif kids is not None or kind == "/Page" or "/Resources" in own:
+            found.append((len(found) + 1, n, *count(given)))
+    return found
+
+
+def read_pages(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """``keys is_vector error page object has_resources n_objects n_images``: the pages of each file in its order, one row without a page where there is none.
+
+    ``is_vector`` is told of the file, as by :func:`vector_files`.
+    """
+    fields = "".join(f"`{k}` {files.schema[k].dataType.simpleString()}, " for k in keys)
+    kinds = {"is_vector": pa.bool_(), "error": pa.string(), "page": pa.int32(), "object": pa.int64(), "has_resources": pa.bool_(), "n_objects": pa.int64(), "n_images": pa.int64()}
+
+    def task(batches):
+        known: dict = {}
+        for batch in batches:
+            at, rows = [], []
+            for i, raw in enumerate(batch.column(len(keys))):
+                try:
+                    f, error = File(raw.as_py() or b"", known), None
+                except _UNREAD as e:
+                    f, error = None, str(e) or type(e).__name__
+                found = _file_pages(f) if f else []
+                is_vector = not all(p[2] and p[3] and p[4] for p in found)
+                got = [(is_vector, None, *p) for p in found] or [(False, error, *[None] * 5)]
+                at += [i] * len(got)
+                rows += got
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(at, pa.int32())) for j in range(len(keys))), *(pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True))], names=[*keys, *kinds])
+
+    return files.select(*keys, content).mapInArrow(task, f"{fields}is_vector boolean, error string, page int, object long, has_resources boolean, n_objects long, n_images long")
+
+
 def vector_files(pages: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """``keys is_vector`` of every file: whether any of its pages has no image; without pages it's none."""
     found = files.select(*keys).distinct().join(vector_documents(pages, keys), keys, "left")

@@ -159,3 +159,35 @@ def test_values():
 def test_no_files(spark):
     files = spark.createDataFrame([], "file string, content binary")
     assert pdf_pages.pages(pdf_nodes(files, ["file"]), ["file"]).count() == 0
+
+
+def odd_files():
+    """Trees that loop, share, lack or misplace what the walk reads."""
+    yield tree("/Resources 3 0 R", "", **{}) | {2: "<< /Type /Pages /Kids 5 0 R /Resources << /XObject 6 0 R >> >>", 5: "[10 0 R 11 0 R 99 0 R 2 0 R 10 0 R (x) 12 0 R]", 6: "<< /A 3 0 R /B 4 0 R /C null /D 7 >>", 12: "<< /Resources << /XObject << /I << /Subtype /Image >> >> >> >>"}
+    yield tree("/Kids [11 0 R]", "/Resources null", "/Resources << /Font 1 >>", "/Resources [1]", resources="/Resources << /XObject << /A 3 0 R >> >>")
+    yield tree("(a endobj b) /B", "/Resources << /XObject << /A (endobj \n) /B 3 0 R >> >>", "% endobj \n /Resources << /XObject << /A 3 0 R >> >>")
+    yield {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Kids [3 0 R 5 0 R] /Resources 5 0 R >>", 3: "<< /Kids [4 0 R 2 0 R] >>", 4: "<< /Type /Page /Resources 6 0 R >>", 5: "<< /Type /Page >>", 6: "5 0 R"}
+    yield {1: "<< /Type /Catalog /Pages << /Kids [3 0 R] >> >>", 3: "<< /Type /Page >>"}
+    yield {1: "<< /Type /Catalog >>"}
+
+
+def test_pages_read_in_one_pass(spark, tables):
+    """As by the node table; equal texts of objects are parsed once, and nothing is dealt out or joined."""
+    files, _, _ = tables
+    rows = [(r["file"], r["content"]) for r in files.collect()] + [(f"odd {k}", pdf(x)) for k, x in enumerate(odd_files())] + [(f"lost {k}", pdf(x, start=3)) for k, x in enumerate(odd_files())]
+    files = spark.createDataFrame(rows, files.select("file", "content").schema)
+    nodes = pdf_nodes(files, ["file"]).cache()
+    pages = pdf_pages.pages(nodes, ["file"])
+    want = pdf_pages.vector_files(pages, files, ["file"]).join(nodes.where("object IS NULL").select("file", "error"), "file", "left").join(pages, "file", "left")
+    made = pdf_pages.read_pages(files, ["file"])
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    of = lambda df: sorted(map(repr, df.select("file", "is_vector", "error", "page", "object", "has_resources", "n_objects", "n_images").collect()))
+    assert of(made) == of(want)
+
+
+def test_equal_objects_are_parsed_once():
+    known = {}
+    pdf_objects.File(pdf(tree("", "/A 1")), known).object(10)
+    before = dict(known)
+    f = pdf_objects.File(pdf(tree("", "")), known)
+    assert f.object(10) is before[b"\n<< /Type /Page  >>\n"] and f.object(11) is f.object(10)
