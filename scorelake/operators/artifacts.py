@@ -83,12 +83,8 @@ def invalidated(stale: DataFrame, dependencies: DataFrame, keys: list[str]) -> D
     no order of its graph is one in which it could run.
     """
     edges = dependencies.select(*keys, F.col("dep").alias("up"), F.col("stage").alias("down"))
-    found = graph.reached(edges, keys, stale.select(*keys, F.col("stage").alias("node")))
-    hit = found.groupBy(*keys, F.col("to").alias("stage")).agg(F.min(F.struct("n", "node")).alias("c"))
-    affected = hit.select(*keys, "stage", F.col("c.node").alias("because"), F.col("c.n").alias("distance"))
-    around = graph.cycles(graph.reached(edges, keys, affected.select(*keys, F.col("stage").alias("node"))), edges, keys)
-    looped = around.select(*keys, F.col("node").alias("stage"), F.lit(True).alias("in_cycle"))
-    return affected.join(looped, [*keys, "stage"], "left").fillna({"in_cycle": False})
+    found = graph.followed(edges, keys, stale.select(*keys, F.col("stage").alias("node")))
+    return found.select(*keys, F.col("node").alias("stage"), "because", F.col("n").alias("distance"), "in_cycle")
 
 
 def incomplete(recorded: DataFrame, dependencies: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorelake.operators import artifacts, bundles, catalogues
@@ -110,11 +109,12 @@ WHERE l_linenumber BETWEEN 2 AND 4 AND l_returnflag <> 'R'"""
 def dependency_closure(spark, sf_dir):
     """A customer's orders are stages: each leads to the two of twice its number, every third to the next, and in every tenth bundle the last to the first."""
     o = _orders(spark, sf_dir)
-    place = Window.partitionBy("bundle").orderBy("o_orderdate", "k")
-    o = o.select("bundle", "k", F.row_number().over(place).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("bundle")).cast("int").alias("n"))
-    i, n = F.col("i"), F.col("n")
-    to = F.array(2 * i, 2 * i + 1, F.when(F.col("k") % 3 == 0, i + 1), F.when((F.col("bundle") % 10 == 0) & (i == n), F.lit(1)))
-    edges = o.select("bundle", F.col("k").alias("dep"), F.explode(to).alias("j")).join(o.select("bundle", F.col("i").alias("j"), F.col("k").alias("stage")), ["bundle", "j"])
+    # a bundle's orders by place, so that a place is looked up without a join
+    every = o.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "k")))["k"].alias("all"))
+    i, n, k = F.col("i") + 1, F.size("all"), F.col("k")
+    to = F.array(2 * i, 2 * i + 1, F.when(k % 3 == 0, i + 1), F.when((F.col("bundle") % 10 == 0) & (i == n), F.lit(1)))
+    edges = every.select("bundle", "all", F.posexplode("all").alias("i", "k")).select("bundle", k.alias("dep"), "all", F.explode(to).alias("j"))
+    edges = edges.select("bundle", F.get("all", F.col("j") - 1).alias("stage"), "dep").where("stage IS NOT NULL")
     return artifacts.invalidated(o.where("k % 7 = 0").select("bundle", F.col("k").alias("stage")), edges.select("bundle", "stage", "dep"), ["bundle"])
 
 

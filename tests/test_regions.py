@@ -152,3 +152,26 @@ def test_reached_and_cycles(spark):
     one = graph.reached(df, ["g"], spark.createDataFrame([("g", 18), ("z", 1)], "g string, node long"))
     assert sorted(map(tuple, one.collect())) == [("g", 18, 18, 0), ("g", 18, 19, 1), ("g", 18, 20, 2), ("z", 1, 1, 0)]
     assert graph.reached(df.limit(0), ["g"]).count() == 0
+
+
+@pytest.mark.parametrize(("gathered", "kind"), [(6, "long"), (50_000, "string")])
+def test_followed_as_by_rounds(spark, monkeypatch, gathered, kind):
+    """Small graphs by tasks and large ones by joins give the same."""
+    monkeypatch.setattr(graph, "GATHERED", gathered)
+    rng = random.Random(3)
+    edges = [(f"s{g}", rng.randrange(9), rng.randrange(9)) for g in range(30) for _ in range(rng.randrange(1, 12))] + [("s1", 3, None), ("s2", None, 4)]
+    df = spark.createDataFrame(edges, "g string, up long, down long").selectExpr("g", f"cast(up as {kind}) as up", f"cast(down as {kind}) as down")
+    starts = spark.createDataFrame([(g, x) for g in ["z", *(f"s{k}" for k in range(30))] for x in (7, 3, 18, 3)], "g string, node long").selectExpr("g", f"cast(node as {kind}) as node")
+    of = lambda x: sorted(map(repr, x.select("g", "node", "because", "n", "in_cycle").collect()))
+    got = graph.followed(df, ["g"], starts)
+    assert of(got) == of(graph._by_rounds(df, ["g"], starts))
+
+
+def test_small_graphs_take_no_rounds(spark, monkeypatch):
+    """A chain of 300 is one task's, not 300 joins."""
+    monkeypatch.setattr(graph, "reached", None)
+    df = spark.createDataFrame([(g, k, k + 1) for g in range(3) for k in range(300)] + [(2, 300, 0)], "g int, up int, down int")
+    got = graph.followed(df, ["g"], spark.createDataFrame([(0, 5), (2, 0), (2, 9)], "g int, node int")).collect()
+    assert {r["node"]: r["n"] for r in got if r["g"] == 0} == {k: k - 5 for k in range(5, 301)}
+    assert [r["in_cycle"] for r in got if r["g"] == 2] == [True] * 301 and not any(r["in_cycle"] for r in got if r["g"] == 0)
+    assert {r["because"] for r in got if r["g"] == 2} == {0, 9}
